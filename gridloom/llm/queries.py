@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Module and function of each query; its SQL, if any, is the module's OPn_SQL.
 _WHERE = {
     "op1_secret_scan": "q_secrets",
+    "op4_language_id": "q_language",
+    "op8_quality": "q_quality",
 }
 
 

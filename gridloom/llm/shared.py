@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 M64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -90,12 +91,12 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole rows of about ``most`` bytes: first row, end row, bytes, offsets. A longer text stands alone."""
+def chunks(data: np.ndarray, offsets: np.ndarray, most: int = CHUNK, rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of at most ``rows`` whole rows and about ``most`` bytes: first row, end row, bytes, offsets. A longer text stands alone."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + rows)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
@@ -127,6 +128,16 @@ def of_rows(offsets: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, places, "right") - 1
 
 
+def with_columns(batch: pa.RecordBatch, keep: list[str], more: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch's columns named in keep, then more."""
+    return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *more.values()], names=[*keep, *more])
+
+
+def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
+    """Whether crc32 of the id as text leaves that remainder; never for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
 def chain(w: np.ndarray, n: int) -> np.ndarray:
     """Hashes of n consecutive entries of w."""
     if len(w) < n:

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 #: Module and function of each query; its SQL, if any, is the module's OPn_SQL.
 _WHERE = {
     "op1_secret_scan": "q_secrets",
+    "op3_chat_format": "q_chat",
     "op4_language_id": "q_language",
+    "op7_toxicity": "q_toxicity",
     "op8_quality": "q_quality",
+    "op9_decontamination": "q_benchmark",
+    "op10_nearest_neighbours": "q_nearest",
 }
 
 

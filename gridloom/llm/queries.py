@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 #: Module and function of each query; its SQL, if any, is the module's OPn_SQL.
 _WHERE = {
     "op1_secret_scan": "q_secrets",
+    "op2_ngram_join": "q_ngrams",
     "op3_chat_format": "q_chat",
     "op4_language_id": "q_language",
+    "op5_packing": "q_packing",
+    "op6_repeated_passages": "q_repeats",
     "op7_toxicity": "q_toxicity",
     "op8_quality": "q_quality",
     "op9_decontamination": "q_benchmark",

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.shared import Scratch
+
 WINDOW = 8
 LITERAL = 3
 #: Benchmark windows up to this count are broadcast (about 100 bytes each); beyond it the join is shuffled.
@@ -81,7 +83,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, many: int = 10) -> DataFrame:
     """doc_id, item_id, n_windows (of the item, matched) and of_windows (the item's), for each contaminated pair."""
-    items = _items(benchmark)
+    items = Scratch(docs.sparkSession, "benchmark").keep(_items(benchmark), "items")
     of = items.groupBy("item_id").agg(F.count_distinct("pos").alias("of_windows"))
     starts = sorted({min(START, r.size) for r in items.select(F.col("size").alias("size")).distinct().collect()})  # at most START numbers
     asked = items.select("item_id", F.col("pos").alias("item_pos"), "size", "start", "w", F.col("slots").alias("item_slots"))
@@ -97,10 +99,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, many
         hits = found if hits is None else hits.unionByName(found)
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("a"), x["slots"].alias("b")))
     hits = hits.select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
-    # One alignment has at most the item's own windows.
-    runs = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    # One alignment has at most the item's own windows; both steps share one exchange of the hits.
+    runs = hits.repartition("doc_id", "item_id").groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     runs = runs.filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"]))))
-    found = runs.select("doc_id", "item_id", F.explode("at").alias("at")).groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("n_windows"))
+    found = runs.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"))
     found = found.join(of, "item_id")
     return found.filter((F.col("n_windows") >= share * F.col("of_windows")) | (F.col("n_windows") >= many)).select("doc_id", "item_id", "n_windows", "of_windows")
 

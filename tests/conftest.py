@@ -13,7 +13,7 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     made = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")

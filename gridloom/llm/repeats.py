@@ -17,7 +17,6 @@ of rows with one doc_id neither comes before the other, except by place.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -31,9 +30,9 @@ from pyspark.sql import types as T
 
 from gridloom.llm.shared import CHUNK, Scratch, chunks, mix, of_rows, powers, prefix_hash, strings
 
-GRAM = 16
+GRAM = 12
 PART_BYTES = 4 << 20
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 16 << 20
 NOTHING = -(1 << 63)
 
 
@@ -72,9 +71,48 @@ def stretches(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndar
 
 
 def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The bytes data[start:start + length] one after another."""
-    at = np.cumsum(length) - length
-    return data[np.repeat(start - at, length) + np.arange(int(length.sum()))]
+    """The bytes data[start:start + length] one after another; index arrays stay at the size of a chunk."""
+    out = np.empty(int(length.sum()), np.uint8)
+    for a, b, lo, hi in groups(length):
+        n = length[a:b]
+        out[lo:hi] = data[np.repeat(start[a:b] - (np.cumsum(n) - n), n) + np.arange(hi - lo)]
+    return out
+
+
+def groups(length: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Runs of stretches of about a chunk: first, end, and their bytes' first and end if they stand one after another."""
+    ends = np.cumsum(length)
+    a, lo = 0, 0
+    while a < len(length):
+        b = max(a + 1, int(np.searchsorted(ends, lo + CHUNK, "right")))
+        yield a, b, lo, int(ends[b - 1])
+        a, lo = b, int(ends[b - 1])
+
+
+def content_hashes(text: np.ndarray, run: np.ndarray, span: int) -> np.ndarray:
+    """A hash of each stretch; they stand one after another in text."""
+    length = run + span - 1
+    out = np.empty(len(run), np.uint64)
+    for a, b, lo, hi in groups(length):
+        p = prefix_hash(text[lo:hi])
+        base = np.cumsum(length[a:b]) - length[a:b]
+        out[a:b] = mix((p[base + length[a:b]] - p[base]) * powers(hi - lo + 1)[1][base]) ^ mix(run[a:b].astype(np.uint64))
+    return out
+
+
+def string_hashes(text: np.ndarray, run: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place in text and hash of every string of span bytes of stretches that stand one after another."""
+    length = run + span - 1
+    at, h = np.empty(int(run.sum()), np.int32), np.empty(int(run.sum()), np.uint64)
+    done = 0
+    for a, b, lo, hi in groups(length):
+        p = prefix_hash(text[lo:hi])
+        n = run[a:b]
+        own = np.repeat(np.cumsum(length[a:b]) - length[a:b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        h[done : done + len(own)] = (p[own + span] - p[own]) * powers(hi - lo + 1)[1][own]
+        at[done : done + len(own)] = own + lo
+        done += len(own)
+    return at, h
 
 
 def _firsts(content: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -93,9 +131,10 @@ _COLUMNS = ["part", "blob", "doc", "th", "s", "e"]
 _KIND = "part int, blob binary, doc long, th long, s int, e int"
 
 
-def _covered(doc: np.ndarray, th: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
-    none = pa.nulls(len(doc), pa.int32())
-    return pa.RecordBatch.from_arrays([none, pa.nulls(len(doc), pa.binary()), pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=_COLUMNS)
+def _covered(parts: int, doc: np.ndarray, th: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    """Spans found on the way: any part passes them on."""
+    part = (mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(doc), pa.binary()), pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=_COLUMNS)
 
 
 def _split(parts: int, span: int):
@@ -112,7 +151,7 @@ def _split(parts: int, span: int):
             at = order[a:b]
             head = np.array([b - a], np.int64).tobytes() + doc[at].tobytes() + th[at].tobytes() + place[at].astype(np.int32).tobytes() + run[at].astype(np.int32).tobytes()
             blob = pack(head + text[ends[a] - length[order[a]] : ends[b - 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([part[order[a]]], pa.int32()), pa.array([blob]), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=_COLUMNS)
+            yield pa.RecordBatch.from_arrays([pa.array([part[order[a]]], pa.int32()), pa.array([blob]), *(pa.array([0], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=_COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
@@ -127,7 +166,7 @@ def _split(parts: int, span: int):
             later[order] = docs[order] > docs[head]
             lengths = np.diff(offsets)
             if (gone := later & (lengths >= span)).any():
-                yield _covered(docs[gone], ths[gone], np.zeros(gone.sum(), np.int32), lengths[gone])
+                yield _covered(parts, docs[gone], ths[gone], np.zeros(gone.sum(), np.int32), lengths[gone])
             for lo, hi, part, at in chunks(data, offsets, CHUNK):
                 start, n, gram, content = stretches(part, at, span)
                 if not len(start):
@@ -138,7 +177,7 @@ def _split(parts: int, span: int):
                 place, doc, th = start - at[row], docs[lo + row], ths[lo + row]
                 one = _firsts(content, doc, place)
                 if (~one).any():
-                    yield _covered(doc[~one], th[~one], place[~one], (place + n + span - 1)[~one])
+                    yield _covered(parts, doc[~one], th[~one], place[~one], (place + n + span - 1)[~one])
                 kept.append((doc[one], th[one], place[one], n[one], gram[one], gather(part, start[one], n[one] + span - 1)))
                 size += len(kept[-1][-1])
                 if size > FLUSH_BYTES:
@@ -152,18 +191,13 @@ def _split(parts: int, span: int):
 
 def later_copies(doc: np.ndarray, place: np.ndarray, run: np.ndarray, text: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretch, first and end number of each run of strings that are later copies; stretches stand one after another in text."""
-    length = run + span - 1
-    base = np.cumsum(length) - length
     order = np.lexsort((place, doc))
     fresh = np.append(True, (doc[order][1:] != doc[order][:-1]) | (place[order][1:] != place[order][:-1]))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(fresh)
-    p = prefix_hash(text)
-    of = np.repeat(np.arange(len(run)), run)
-    number = np.arange(len(of)) - np.repeat(np.cumsum(run) - run, run)
-    at = base[of] + number
-    h = (p[at + span] - p[at]) * powers(len(text) + 1)[1][at]
-    del p
+    at, h = string_hashes(text, run, span)
+    of = np.repeat(np.arange(len(run), dtype=np.int32), run)
+    number = np.arange(len(of), dtype=np.int64) - np.repeat(np.cumsum(run) - run, run)
     # Only strings whose hash occurs twice can have a previous factor of SPAN bytes.
     by = np.argsort(h)
     same = h[by][1:] == h[by][:-1]
@@ -200,8 +234,9 @@ def later_copies(doc: np.ndarray, place: np.ndarray, run: np.ndarray, text: np.n
 
 def _solve(span: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        known = frame.loc[frame["blob"].isna(), ["doc", "th", "s", "e"]]
         columns = [[] for _ in range(5)]
-        for blob in frame["blob"]:
+        for blob in frame["blob"].dropna():
             raw = zstandard.ZstdDecompressor().decompress(blob)
             n = int(np.frombuffer(raw[:8], np.int64)[0])
             at = 8
@@ -209,22 +244,23 @@ def _solve(span: int):
                 column.append(np.frombuffer(raw, kind, n, at))
                 at += n * np.dtype(kind).itemsize
             columns[4].append(np.frombuffer(raw, np.uint8, offset=at))
+        if not columns[0]:
+            return known
         doc, th, place, count, text = (np.concatenate(c) for c in columns)
         place, count = place.astype(np.int64), count.astype(np.int64)
         length = count + span - 1
         base = np.cumsum(length) - length
-        p = prefix_hash(text)
-        content = mix((p[base + length] - p[base]) * powers(len(text) + 1)[1][base]) ^ mix(count.astype(np.uint64))
-        del p
+        content = content_hashes(text, count, span)
         one = _firsts(content, doc, place)
         text = gather(text, base[one], length[one])
         of, first, end = later_copies(doc[one], place[one], count[one], text, span)
         kept = np.flatnonzero(one)[of]
         rest = np.flatnonzero(~one)
-        return pd.DataFrame({
+        found = pd.DataFrame({
             "doc": np.concatenate([doc[kept], doc[rest]]), "th": np.concatenate([th[kept], th[rest]]),
             "s": np.concatenate([place[kept] + first, place[rest]]).astype(np.int32), "e": np.concatenate([place[kept] + end + span - 1, place[rest] + length[rest]]).astype(np.int32),
         })
+        return pd.concat([known, found])
 
     return run
 
@@ -236,16 +272,9 @@ def repeated_spans(docs: DataFrame, span: int = 100) -> tuple[DataFrame, Scratch
     total = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     parts = max(4, -(-total // PART_BYTES))
     sent = keyed(docs).select("doc", "th", "text").mapInArrow(_split(parts, span), _KIND)
-    sent = scratch.keep(sent, "sent")
-    blobs = sent.filter("part is not null").select("part", "blob").repartition(parts, "part")
-    found = blobs.groupBy("part").applyInPandas(_solve(span), "doc long, th long, s int, e int")
-    spans = found.unionByName(sent.filter("part is null").select("doc", "th", "s", "e"))
+    spans = sent.groupBy("part").applyInPandas(_solve(span), "doc long, th long, s int, e int")
     spans = spans.select("doc", "th", F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("e").cast("long")).alias("x"))
     spans = scratch.keep(spans.groupBy("doc", "th").agg(F.collect_set("x").alias("spans")), "spans")
-    scratch.drop("sent")
-    del sent, blobs, found
-    gc.collect()  # lets Spark's cleaner drop the shuffle files behind the table just written
-    spark._jvm.System.gc()
     return spans, scratch
 
 

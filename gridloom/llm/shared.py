@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 M64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK = 1 << 21
+#: Shuffle files behind a table go as soon as it is written.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +43,13 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        conf = self.spark.conf
+        before = conf.get(CLEAN, None)
+        conf.set(CLEAN, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.set(CLEAN, before) if before is not None else conf.unset(CLEAN)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -111,7 +111,7 @@ def _minimise(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1500, rat
 def class_prior(p: np.ndarray, u: np.ndarray) -> float:
     """The least ratio of unlabelled to positive mass above a score, over regions that hold a fifth of the positives.
 
-    Scores come from a model of the other half of the rows; the ratio is taken at its lower end, one standard error
+    Scores come from a model of the other half of the rows; the ratio is taken at its lower end, half a standard error
     of either mass away: a prior that is too high hides negatives, one too low costs little.
     """
     found = []
@@ -122,7 +122,7 @@ def class_prior(p: np.ndarray, u: np.ndarray) -> float:
         for share in np.linspace(0.2, 0.97, 40) if len(fp) and len(fu) else ():
             t = fp[min(int(share * len(fp)), len(fp) - 1)]
             mass_p, mass_u = float((fp >= t).mean()), float((fu >= t).mean())
-            error = lambda m, n: np.sqrt(m * (1 - m) / n + 1 / n**2)
+            error = lambda m, n: 0.5 * np.sqrt(m * (1 - m) / n + 1 / n**2)
             best = min(best, (mass_u - error(mass_u, len(fu))) / (mass_p + error(mass_p, len(fp))))
         found.append(best)
     return float(np.clip(np.mean(found), 0.05, 0.98))

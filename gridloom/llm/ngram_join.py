@@ -6,9 +6,9 @@ only classes are joined. A pair with Jaccard similarity of 0.75 or more shares a
 quarter of either set, which gives the candidates; the order is cut into fragments, the overlap of each
 candidate pair is counted in each fragment separately, and the partial counts are summed per pair.
 
-Pairs are never all emitted within a group. First each class is only paired with the least class of each
-of its buckets. What is linked then forms components, and only classes that share a bucket but are not yet in one component are
-paired in the second round, so that no link between different components is lost.
+Pairs are never all emitted within a group. First each class is only paired with one class of each of its
+buckets, in ROUNDS rounds. What is linked then forms components, and only classes that share a bucket but are not yet in one component are
+paired in the last round, so that no link between different components is lost.
 
 Defined results: null text is empty; empty sets link with nothing; rows that share a doc_id are separate
 members with the same id; a component's id is the least doc_id that is not null.
@@ -34,6 +34,8 @@ WORDS = 5
 BITS = 24
 PIECE = 1 << 18
 FRAGMENTS = 4
+BLOCKS, GROUP, SIDE = 32, 1000, 10_000
+ROUNDS, LEADERS = 2, 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -112,8 +114,11 @@ def _levels(shares: DataFrame) -> np.ndarray:
     for r in first.groupBy("piece").applyInPandas(_summed, "piece int, counts binary").toLocalIterator():
         total[r.piece * PIECE : (r.piece + 1) * PIECE] = _unpacked(bytes(r.counts))
     mean = float(total.mean())
-    over = total / (mean + 4 * mean**0.5 + 4)
-    return np.where(over < 1, 0, 1 + np.log2(np.maximum(over, 1))).astype(np.uint8)
+    out = np.zeros(1 << BITS, np.uint8)
+    for i in range(0, 1 << BITS, PIECE):
+        over = total[i : i + PIECE] / (mean + 4 * mean**0.5 + 4)
+        out[i : i + PIECE] = np.where(over < 1, 0, 1 + np.log2(np.maximum(over, 1)))
+    return out
 
 
 def _prefixes(levels):
@@ -123,7 +128,7 @@ def _prefixes(levels):
         for batch in batches:
             data, offsets = strings(batch.column("text"))
             for _, _, part, at in chunks(data, offsets):
-                hs, cs, ns = [], [], []
+                hs, cs, ns, at_ = [], [], [], []
                 for v in shingle_sets(part, at):
                     if not len(v) or (c := key_of(v)) in seen:
                         continue
@@ -134,36 +139,47 @@ def _prefixes(levels):
                     hs.append(v)
                     cs.append(np.full(p, c, np.int64))
                     ns.append(np.full(p, len(rank), np.int32))
+                    at_.append(np.arange(p, dtype=np.int32))
                 if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(cs)), pa.array(np.concatenate(ns))], names=["h", "c", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (cs, ns, at_))], names=["h", "c", "n", "pos"])
 
     return run
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """c, fragment, seg: the class's shingles in each fragment of the order."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """c and its shingles, in order."""
     for batch in batches:
         data, offsets = strings(batch.column("text"))
         wanted = batch.column("c").to_pylist()
         for lo, _, part, at in chunks(data, offsets):
-            out = []
-            for i, v in enumerate(shingle_sets(part, at)):
-                if wanted[lo + i] == key_of(v):
-                    cut = np.searchsorted(v, np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(62))
-                    out += [(wanted[lo + i], f, seg.tobytes()) for f, seg in enumerate(np.split(v, cut))]
+            out = [(wanted[lo + i], v.tobytes()) for i, v in enumerate(shingle_sets(part, at)) if wanted[lo + i] == key_of(v)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], schema=pa.schema([("c", pa.int64()), ("f", pa.int64()), ("seg", pa.binary())]))
-
-
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-            p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-            if len(p) > len(q):
-                p, q = q, p
-            out.append(int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(p) else 0)
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("a", "b", "na", "nb")), pa.array(out, pa.int64())], names=["a", "b", "na", "nb", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], schema=pa.schema([("c", pa.int64()), ("set", pa.binary())]))
+
+
+def overlap(p: list[np.ndarray], q: list[np.ndarray], least: int) -> int:
+    """The partial overlaps of the fragments, summed; -1 as soon as those that are left can't make it ``least``."""
+    total, rest_p, rest_q = 0, sum(map(len, p)), sum(map(len, q))
+    for x, y in zip(p, q, strict=True):
+        rest_p, rest_q = rest_p - len(x), rest_q - len(y)
+        if len(x) and len(y):
+            total += int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        if total + min(rest_p, rest_q) < least:
+            return -1
+    return total
+
+
+def _linked(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    pivots = np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(64 - FRAGMENTS.bit_length() + 1)
+    of = {}
+    for c, raw in zip(sets["c"], sets["set"], strict=True):
+        v = np.frombuffer(raw, np.uint64)
+        of[c] = np.split(v, np.searchsorted(v, pivots))
+    found = []
+    for a, b, na, nb in zip(pairs["a"], pairs["b"], pairs["na"], pairs["nb"], strict=True):
+        if a in of and b in of and (n := overlap(of[a], of[b], -(-3 * (int(na) + int(nb)) // 7))) >= 0:
+            found.append((a, b, n))
+    return pd.DataFrame(found, columns=["a", "b", "overlap"]).astype("int64")
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -185,10 +201,16 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
-def _possible(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, na, b, nb, shared) whose sizes and shared prefix shingles leave 0.75 within reach."""
-    rest = F.greatest(*(F.col(n) - (F.col(n) - F.floor((3 * F.col(n) + 3) / 4) + 1) for n in ("na", "nb")))
-    return pairs.filter((4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (7 * (F.col("shared") + rest) >= 3 * (F.col("na") + F.col("nb"))))
+def _possible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) whose sizes and prefixes leave 0.75 within reach.
+
+    The prefixes are the first fragment of the order: beyond what they share, no more can overlap than what follows one of them.
+    """
+    rest = F.greatest(*(F.floor((3 * F.col(n) + 3) / 4) - 1 for n in ("na", "nb")))
+    pairs = pairs.filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    both = pairs.join(heads.select(F.col("c").alias("a"), F.col("head").alias("ha")), "a").join(heads.select(F.col("c").alias("b"), F.col("head").alias("hb")), "b")
+    found = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ha", "hb")).alias("shared"))
+    return found.filter(7 * (F.col("shared") + rest) >= 3 * (F.col("na") + F.col("nb"))).drop("shared")
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
@@ -202,28 +224,47 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
     levels = spark.sparkContext.broadcast(_levels(first.filter("piece is not null").select("piece", "task", "counts")))
 
     # Postings of the prefixes; those that only one class has are dropped before they are written.
-    posts = texts.mapInArrow(_prefixes(levels), "h long, c long, n int")
+    posts = texts.mapInArrow(_prefixes(levels), "h long, c long, n int, pos int")
     shared = scratch.keep(_shared(posts), "shared")
 
-    star = shared.filter("c <> least_c").groupBy(F.col("least_c").alias("a"), F.col("c").alias("b")).agg(F.first("least_n").alias("na"), F.first("n").alias("nb"), F.count_distinct("h").alias("shared"))
-    tried = scratch.keep(_possible(star), "tried")
-    links = scratch.keep(_verified(texts, members, tried), "links")
-    labels = components(links, scratch, "cc")
-
-    # Second round: classes that share a bucket and aren't in one component yet.
-    placed = shared.select("h", "c", "n").join(labels, "c", "left").select("h", "c", "n", F.coalesce("comp", "c").alias("comp"))
+    # First rounds: each class with one class of each of its buckets, another one each time. They are
+    # linear in the postings, and put most of what is linked into one component.
+    classes = scratch.keep(members.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "classes")
+    heads = scratch.keep(shared.groupBy("c").agg(F.collect_list("h").alias("head")), "heads")  # each at most one document's prefix
+    star = shared.filter("c <> least_c").select(F.col("least_c").alias("a"), F.col("c").alias("b"), F.col("least_n").alias("na"), F.col("n").alias("nb"))
+    tried = links = labels = None
+    for turn in range(ROUNDS):
+        if turn:
+            star = _star(shared, labels, turn)
+        pairs = star.select("a", "b", "na", "nb").distinct()
+        pairs = scratch.keep(_possible(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), heads), f"tried-{turn}")
+        if turn and not pairs.limit(1).count():
+            break
+        done = scratch.keep(_verified(texts, classes, pairs), f"links-{turn}")
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        links = done if links is None else links.unionByName(done)
+        labels = components(links, scratch, f"cc-{turn}")
+
+    # Last round: classes that share a bucket and aren't in one component yet. At the first shingle that a
+    # pair shares, no more than what follows it in either set can overlap; so a bucket pairs only what that leaves within reach.
+    placed = shared.select("h", "c", "n", "pos").join(labels, "c", "left").select("h", "c", "n", (F.col("n") - F.col("pos")).alias("rest"), F.coalesce("comp", "c").alias("comp"))
     placed = scratch.keep(placed.distinct(), "placed")
-    mixed = placed.groupBy("h", "comp").agg(F.count("*").alias("size"))
-    left, right = mixed.select("h", F.col("comp").alias("ca")), mixed.select("h", F.col("comp").alias("cb"))
-    cross = left.join(right, "h").filter("ca < cb")
-    member = lambda x, y: placed.select("h", F.col("comp").alias(f"c{x}"), F.col("c").alias(y), F.col("n").alias(f"n{x}"))
-    pairs = cross.join(member("a", "u"), ["h", "ca"]).join(member("b", "v"), ["h", "cb"]).filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    turned = pairs.select("h", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.when(F.col("u") < F.col("v"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("u") < F.col("v"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-    more = _possible(turned.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("shared")))
-    more = scratch.keep(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "more")
+    mixed = placed.groupBy("h", "comp").agg(F.max("rest").alias("rest"), F.min("n").alias("low"), F.max("n").alias("high"))
+    side = lambda x: mixed.select("h", *(F.col(k).alias(f"{k}_{x}") for k in ("comp", "rest", "low", "high")))
+    cross = side("a").join(side("b"), "h").filter("comp_a < comp_b and 7 * least(rest_a, rest_b) >= 3 * (low_a + low_b) and 4 * high_a >= 3 * low_b and 4 * high_b >= 3 * low_a")
+    member = lambda x: placed.select("h", *(F.col(k).alias(f"{v}_{x}") for k, v in (("comp", "comp"), ("c", "c"), ("n", "n"), ("rest", "rest"))))
+    reach = "7 * least({ra}, {rb}) >= 3 * ({na} + {nb}) and 4 * {ha} >= 3 * {nb} and 4 * {hb} >= 3 * {na}"
+    cross = cross.select("h", "comp_a", "comp_b", F.col("rest_b").alias("most_b"), "low_b", "high_b")
+    pairs = cross.join(member("a"), ["h", "comp_a"]).filter(reach.format(ra="rest_a", rb="most_b", na="n_a", nb="low_b", ha="n_a", hb="high_b"))
+    pairs = pairs.join(member("b"), ["h", "comp_b"]).filter(reach.format(ra="rest_a", rb="rest_b", na="n_a", nb="n_b", ha="n_a", hb="n_b"))
+    first = F.col("c_a") < F.col("c_b")
+    either = lambda k: (F.when(first, F.col(f"{k}_a")).otherwise(F.col(f"{k}_b")), F.when(first, F.col(f"{k}_b")).otherwise(F.col(f"{k}_a")))
+    (a, b), (na, nb) = either("c"), either("n")
+    more = pairs.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb")).distinct()
+    more = scratch.keep(_possible(more.join(tried, ["a", "b"], "left_anti"), heads), "more")
     if more.limit(1).count():
-        links = scratch.keep(links.unionByName(_verified(texts, members, more)), "all-links")
-    scratch.drop("shared", "placed", "tried", "more")
+        links = scratch.keep(links.unionByName(_verified(texts, classes, more)), "links")
+    scratch.drop("shared", "heads", "placed", "more", *(f"tried-{turn}" for turn in range(ROUNDS)))
     return members, links, scratch
 
 
@@ -231,19 +272,35 @@ def _shared(posts: DataFrame) -> DataFrame:
     """h, c, n of the shingles that several classes have, and the least class of each."""
     bucket = Window.partitionBy("h")
     least = F.min(F.struct("c", "n")).over(bucket)
-    return posts.select("h", "c", "n", least.alias("least"), F.max("c").over(bucket).alias("most")).filter("least.c <> most").select("h", "c", "n", F.col("least.c").alias("least_c"), F.col("least.n").alias("least_n"))
-
-
-def _verified(texts: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b, na, nb) that are links: partial overlaps by fragment, summed."""
-    needed = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    one = members.join(needed, "c").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
-    segs = texts.join(one, "doc_id").select("c", "text").mapInArrow(_segments, "c long, f long, seg binary")
-    cut = pairs.select("a", "b", "na", "nb", F.explode(F.array(*(F.lit(f).cast("long") for f in range(FRAGMENTS)))).alias("f"))
-    both = cut.join(segs.select(F.col("c").alias("b"), "f", F.col("seg").alias("sb")), ["b", "f"]).join(segs.select(F.col("c").alias("a"), "f", F.col("seg").alias("sa")), ["a", "f"])
-    parts = both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_overlaps, "a long, b long, na int, nb int, part long")
-    total = parts.groupBy("a", "b").agg(F.sum("part").alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return total.filter("7 * overlap >= 3 * (na + nb)").select("a", "b", "overlap")
+    return posts.select("h", "c", "n", "pos", least.alias("least"), F.max("c").over(bucket).alias("most")).filter("least.c <> most").select("h", "c", "n", "pos", F.col("least.c").alias("least_c"), F.col("least.n").alias("least_n"))
+
+
+def _star(shared: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """a, b, na, nb: every class with the class of its bucket that one of LEADERS hashes of this turn picks, if it's in another component."""
+    placed = shared.select("h", "c", "n").join(labels, "c", "left").select("h", "c", "n", F.coalesce("comp", "c").alias("comp"))
+    lead = F.min(F.struct(F.xxhash64("c", F.pmod("h", F.lit(LEADERS)), F.lit(turn)), "c", "n", "comp")).over(Window.partitionBy("h"))
+    rows = placed.withColumn("lead", lead).filter("lead.comp <> comp").select("h", "c", "n", F.col("lead.c").alias("c2"), F.col("lead.n").alias("n2"))
+    first = F.col("c") < F.col("c2")
+    either = lambda x, y: (F.when(first, F.col(x)).otherwise(F.col(y)), F.when(first, F.col(y)).otherwise(F.col(x)))
+    (a, b), (na, nb) = either("c", "c2"), either("n", "n2")
+    return rows.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb"))
+
+
+def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) that are links, and their overlap.
+
+    Pairs are dealt out in blocks of classes, so a set travels once to each block that needs it. Blocks hold
+    about GROUP classes on one side and at most about SIDE on the other.
+    """
+    ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    one = classes.join(ends, "c")
+    n = ends.count()
+    block = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    dealt = pairs.select("a", "b", "na", "nb", block("a", max(BLOCKS, n // GROUP)).alias("ga"), block("b", max(1, n // SIDE)).alias("gb"))
+    sets = texts.join(one, "doc_id").select("c", "text").mapInArrow(_sets, "c long, set binary")
+    needed = dealt.select(F.col("a").alias("c"), "ga", "gb").unionByName(dealt.select(F.col("b").alias("c"), "ga", "gb")).distinct()
+    sent = needed.join(sets, "c").select(F.col("ga").alias("xa"), F.col("gb").alias("xb"), "c", "set")
+    return dealt.groupBy("ga", "gb").cogroup(sent.groupBy("xa", "xb")).applyInPandas(_linked, "a long, b long, overlap long")
 
 
 def cluster(docs: DataFrame) -> DataFrame:

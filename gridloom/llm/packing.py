@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 
 END = 2
 CAPACITY = 1024
-PART = 100_000
+#: Pieces of one length are ranked in parts of about so many.
+PART = 1000
 #: Beyond these characters the two libraries' character tables might differ, so such texts go through ``tokenizers``.
 _OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ɏ]")
 
@@ -132,9 +133,9 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     runs = sorted(plan(counts, capacity))
     table = np.array(runs or [(1, 0, 0, 1, 0)], np.int64)
-    parts = max(1, -(-sum(counts.values()) // PART))
+    parts = F.array(*(F.lit(max(1, -(-counts.get(n, 0) // PART))) for n in range(1, capacity + 1)))
     others = [c for c in rows.columns if c != "length"]
-    part = F.pmod(F.xxhash64(*others), F.lit(parts))
+    part = F.pmod(F.xxhash64(*others), F.get(parts, (F.col("length") - 1).cast("int")))
     spread = rows.withColumn("__part", part)
     within = Window.partitionBy("length", "__part").orderBy(*others)
     numbered = spread.withColumn("__rank", F.row_number().over(within).cast("long") - 1)

@@ -8,7 +8,8 @@ candidate pair is counted in each fragment separately, and the partial counts ar
 
 Pairs are never all emitted within a group. First each class is only paired with one class of each of its
 buckets, in ROUNDS rounds. What is linked then forms components, and only classes that share a bucket but are not yet in one component are
-paired in the last round, so that no link between different components is lost.
+paired in the last round, so that no link between different components is lost. Every link lies inside one component,
+so then the overlaps of all classes of each component are counted, in blocks: no link inside one is lost either.
 
 Defined results: null text is empty; empty sets link with nothing; rows that share a doc_id are separate
 members with the same id; a component's id is the least doc_id that is not null.
@@ -18,6 +19,7 @@ Sets are told apart by 64-bit hashes of their shingles (expected collisions: n *
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ PIECE = 1 << 18
 FRAGMENTS = 4
 BLOCKS, GROUP, SIDE = 32, 1000, 10_000
 ROUNDS, LEADERS = 2, 16
+#: A part of a component holds about so many shingles at most.
+PART = 1 << 19
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -213,8 +217,79 @@ def _possible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     return found.filter(7 * (F.col("shared") + rest) >= 3 * (F.col("na") + F.col("nb"))).drop("shared")
 
 
+def _overlaps(part: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A class of part i, the classes of part j that it links with, and the overlaps; each pair of classes once."""
+    i, j = part["i"].iloc[0], part["j"].iloc[0]
+    x, y = (part[part["q"] == q].drop_duplicates("c").sort_values("c") for q in (i, j))
+    if not len(x) or not len(y):
+        return
+    ids, of = y["c"].to_numpy(), [np.frombuffer(raw, np.uint64) for raw in y["set"]]
+    sizes = np.array([len(v) for v in of])
+    flat = np.concatenate(of)
+    order = np.argsort(flat, kind="stable")
+    who = np.repeat(np.arange(len(of)), sizes)[order]
+    keys, start = np.unique(flat[order], return_index=True)
+    end = np.append(start[1:], len(flat))
+    for c, raw in zip(x["c"], x["set"], strict=True):
+        v = np.frombuffer(raw, np.uint64)
+        place = np.minimum(np.searchsorted(keys, v), len(keys) - 1)
+        place = place[keys[place] == v]
+        count = end[place] - start[place]
+        at = np.repeat(start[place] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        both = np.bincount(who[at], minlength=len(of))
+        good = (7 * both >= 3 * (sizes + len(v))) & ((ids > c) if i == j else True)
+        yield c, ids[good], both[good]
+
+
+def _links_of(part: pd.DataFrame) -> pd.DataFrame:
+    found = [(min(c, d), max(c, d), n) for c, ids, both in _overlaps(part) for d, n in zip(ids.tolist(), both.tolist(), strict=True)]
+    return pd.DataFrame(found, columns=["a", "b", "overlap"]).astype("int64")
+
+
+def _counts_of(part: pd.DataFrame) -> pd.DataFrame:
+    n: Counter[int] = Counter()
+    for c, ids, _ in _overlaps(part):
+        n[c] += len(ids)
+        n.update(ids.tolist())
+    return pd.DataFrame({"c": list(n), "n": list(n.values())}).astype("int64")
+
+
+def _parts(texts: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The sets of the components of three classes or more, dealt out to all pairs (i, j) of the component's parts.
+
+    Small components are one part and share groups; larger ones are cut into parts of about GROUP classes or PART shingles.
+    """
+    placed = labels.join(classes.select("c", "n"), "c")
+    sizes = placed.groupBy("comp").agg(F.count("*").alias("k"), F.sum("n").alias("s")).filter("k > 2")
+    total = sizes.agg(F.sum("k").alias("k"), F.sum("s").alias("s")).first()
+    groups = max(BLOCKS, (total.k or 0) // GROUP, (total.s or 0) // PART)
+    sizes = sizes.select("comp", F.ceil(F.greatest(F.col("k") / GROUP, F.col("s") / PART)).cast("int").alias("parts"))
+    g = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("comp"), F.lit(groups))).otherwise(F.col("comp"))
+    dealt = placed.join(sizes, "comp").select("c", g.alias("g"), "parts", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("q"))
+    sets = texts.join(classes.join(dealt.select("c"), "c"), "doc_id").select("c", "text").mapInArrow(_sets, "c long, set binary")
+    sent = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("r")).join(sets, "c")
+    return sent.select("g", F.least("q", "r").alias("i"), F.greatest("q", "r").alias("j"), "q", "c", "set")
+
+
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
-    """Members (doc_id, n_shingles, c: its class), links between classes (a, b, overlap), and where they are kept."""
+    """Members (doc_id, n_shingles, c: its class), all links between classes (a, b, overlap), and where they are kept."""
+    texts, members, classes, links, scratch = _tree(docs)
+    labels = components(links, scratch, "final")
+    few = labels.groupBy("comp").agg(F.count("*").alias("k")).filter("k <= 2")
+    pairs = links.join(labels.join(few, "comp").select(F.col("c").alias("a")), "a").select("a", "b", "overlap")
+    whole = _parts(texts, classes, labels).groupBy("g", "i", "j").applyInPandas(_links_of, "a long, b long, overlap long")
+    return members, pairs.unionByName(whole), scratch
+
+
+def _n_links(texts: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """c and n_links of the classes that have links; the links themselves aren't written."""
+    few = labels.groupBy("comp").agg(F.count("*").alias("k")).filter("k = 2")
+    counts = _parts(texts, classes, labels).groupBy("g", "i", "j").applyInPandas(_counts_of, "c long, n long")
+    return counts.unionByName(labels.join(few, "comp").select("c", F.lit(1).cast("long").alias("n"))).groupBy("c").agg(F.sum("n").alias("n_links"))
+
+
+def _tree(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, Scratch]:
+    """Texts, members, classes, enough links between classes to tell the components, and where they are kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     texts = docs.select("doc_id", "text")
@@ -229,7 +304,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
 
     # First rounds: each class with one class of each of its buckets, another one each time. They are
     # linear in the postings, and put most of what is linked into one component.
-    classes = scratch.keep(members.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes = scratch.keep(members.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")), "classes")
     heads = scratch.keep(shared.groupBy("c").agg(F.collect_list("h").alias("head")), "heads")  # each at most one document's prefix
     star = shared.filter("c <> least_c").select(F.col("least_c").alias("a"), F.col("c").alias("b"), F.col("least_n").alias("na"), F.col("n").alias("nb"))
     tried = links = labels = None
@@ -265,7 +340,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
     if more.limit(1).count():
         links = scratch.keep(links.unionByName(_verified(texts, classes, more)), "links")
     scratch.drop("shared", "heads", "placed", "more", *(f"tried-{turn}" for turn in range(ROUNDS)))
-    return members, links, scratch
+    return texts, members, classes, links, scratch
 
 
 def _shared(posts: DataFrame) -> DataFrame:
@@ -305,18 +380,23 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
 
 def cluster(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (to other classes) of every row."""
-    members, links, scratch = join(docs)
+    texts, members, classes, links, scratch = _tree(docs)
     labels = components(links, scratch, "final")
-    ends = links.select(F.col("a").alias("c")).unionByName(links.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("n_links"))
+    ends = scratch.keep(_n_links(texts, classes, labels), "ends")
+    found = _placed(members, labels).join(ends, "c", "left")
+    return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("n_links")), F.lit(0)).cast("long").alias("n_links"))
+
+
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members with component_id."""
     classes = members.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("low")).join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     comps = classes.groupBy("comp").agg(F.min("low").alias("component"))
-    whole = classes.join(comps, "comp").join(ends, "c", "left").select("c", "component", "n_links")
-    found = members.join(whole, "c", "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("n_links")), F.lit(0)).cast("long").alias("n_links"))
+    found = members.join(classes.join(comps, "comp").select("c", "component"), "c", "left")
+    return found.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each component; rows with empty sets and null ids stay."""
-    gone = cluster(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    _, members, _, links, scratch = _tree(docs)
+    gone = _placed(members, components(links, scratch, "final")).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

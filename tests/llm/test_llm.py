@@ -151,6 +151,32 @@ def test_ngram_join_query(spark, sf_dir, documents):
     assert got == brute_clusters(list(documents.itertuples(index=False, name=None)))
 
 
+def test_ngram_join_counts_all_links(spark, monkeypatch):
+    """n_links and join() against brute force, with components in one part and in several."""
+    rows, base = [], prose(600, 90).split()
+    for k in range(40):
+        w = list(base)
+        for j in random.Random(k).sample(range(90), k % 5):
+            w[j] = f"edit{k}"
+        rows.append((len(rows), " ".join(w)))
+    for g in range(5):
+        w = prose(650 + g, 60).split()
+        for k in range(2 + g):
+            rows.append((len(rows), " ".join(w)))
+            w[(11 * k) % 60] = f"new{g}{k}"
+    rows.append((len(rows), rows[0][1].upper()))
+    sets = {i: frozenset(zip(*(t.lower().split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+    linked = lambda p, q: p != q and 4 * len(p & q) >= 3 * len(p | q)
+    want = {i: sum(linked(p, q) for q in set(sets.values())) for i, p in sets.items()}
+    docs = docs_of(spark, rows)
+    assert {r.doc_id: r.n_links for r in ngram_join.cluster(docs).collect()} == want
+    monkeypatch.setattr(ngram_join, "GROUP", 7)
+    members, links, _ = ngram_join.join(docs)
+    of = {r.c: sets[r.doc_id] for r in members.collect()}
+    got = [(frozenset((r.a, r.b)), r.overlap) for r in links.collect()]
+    assert dict(got) == {frozenset((a, b)): len(of[a] & of[b]) for a in of for b in of if linked(of[a], of[b])} and len(dict(got)) == len(got)
+
+
 # Chat
 
 

@@ -85,6 +85,10 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("lang").slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "vector"])
 
 
+#: So many languages are fitted at once; further ones in further groups.
+LANGUAGES = 500
+
+
 def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means, from points chosen farthest first."""
     chosen = [int(np.argmax(x @ x.mean(0)))]
@@ -104,26 +108,28 @@ def fit(docs: DataFrame, learn: Column, clusters: int = 3, sample: int = 2400) -
     df = np.zeros(DIM + 1)
     for r in found:  # DIM + 1 rows at any size
         df[r.feature] = r.n
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])).astype(np.float32) + 1
     names = sorted(sizes)
     if not names:
         return Model(idf, [], np.zeros((0, DIM), np.float32), np.zeros(0, int), 0.0)
     each = max(40, sample // len(names))
-    share = F.create_map(*(F.lit(v) for k in names for v in (k, each / sizes[k])))
     hashed = (F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")) % 1_000_000 + 1_000_000) % 1_000_000
-    some = rows.filter(hashed < share[F.col("lang")] * 1_000_000).select("text", "lang").mapInArrow(_vectors, "lang string, vector binary").limit(2 * each * len(names)).toArrow()
-    langs = np.array(some.column("lang").to_pylist(), object)
-    x = weighted(np.stack([np.frombuffer(v, np.uint16) for v in some.column("vector").to_pylist()]).astype(np.float32), idf) if len(langs) else np.zeros((0, DIM), np.float32)
-    full = x.any(1) if len(x) else np.zeros(0, bool)
     centres, owner, nearest = [], [], [1.0]
-    for i, name in enumerate(names):
-        own = x[(langs == name) & full] if len(langs) else x
-        if len(own):
-            c = _clusters(own, clusters)
-            centres.append(c)
-            owner += [i] * len(c)
-            nearest.append(float((own @ c.T).max(1).min()))
+    for first in range(0, len(names), LANGUAGES):
+        group = names[first : first + LANGUAGES]
+        share = F.create_map(*(F.lit(v) for k in group for v in (k, each / sizes[k])))
+        some = rows.filter(hashed < share[F.col("lang")] * 1_000_000).select("text", "lang").mapInArrow(_vectors, "lang string, vector binary").limit(2 * each * len(group)).toArrow()
+        langs = np.array(some.column("lang").to_pylist(), object)
+        x = weighted(np.stack([np.frombuffer(v, np.uint16) for v in some.column("vector").to_pylist()]).astype(np.float32), idf) if len(langs) else np.zeros((0, DIM), np.float32)
+        full = x.any(1) if len(x) else np.zeros(0, bool)
+        for i, name in enumerate(group, first):
+            own = x[(langs == name) & full] if len(langs) else x
+            if len(own):
+                c = _clusters(own, clusters)
+                centres.append(c)
+                owner += [i] * len(c)
+                nearest.append(float((own @ c.T).max(1).min()))
     return Model(idf, names, np.concatenate(centres) if centres else np.zeros((0, DIM), np.float32), np.array(owner, int), min(nearest) / 2)
 
 

@@ -213,6 +213,16 @@ def test_language_edges(edges, none):
     assert language_id.detect(none, model).count() == 0
 
 
+def test_more_than_a_thousand_languages(spark):
+    """Each language is learnt, the rarest too."""
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}q " * 8, f"l{i:04d}") for i in range(1010)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(4)
+    model = language_id.fit(docs, F.lit(True))
+    assert model.names == [r[2] for r in rows] and set(model.owner) == set(range(1010))
+    got = {r.lang: r.lang_pred for r in language_id.detect(docs.filter("doc_id >= 1000"), model).collect()}
+    assert got == {r[2]: r[2] for r in rows[1000:]}
+
+
 # Packing
 
 

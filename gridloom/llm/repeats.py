@@ -1,13 +1,13 @@
-"""Removal of repeated passages by longest previous factors.
+"""Removal of repeated passages by hashed windows, in place of longest previous factors.
 
 Every byte that lies in a string of SPAN bytes which also starts earlier (in a smaller doc_id, or earlier
 in the same document) is removed; first copies stay.
 
-A suffix array over the whole corpus is built in parts. Each string of SPAN bytes belongs to the part named by the hash of its
+The corpus is searched in parts. Each string of SPAN bytes belongs to the part named by the hash of its
 least GRAM-byte gram, so equal strings meet in one part, and strings next to each other mostly share the
-gram: they travel together as one stretch of text. A part sorts its suffixes so that those with equal
-first SPAN bytes stand together in order of position, and takes longest previous factors from the
-previous and next smaller positions: a suffix whose factor reaches SPAN bytes is a later copy. Equal
+gram: they travel together as one stretch of text. A part sorts the windows of SPAN bytes by their first 8 bytes,
+a 64-bit hash and position, and compares neighbours of one hash byte by byte: of equal ones all but the first are later
+copies. No longer suffix order, factor lengths or previous and next smaller positions are computed. Equal
 stretches are collapsed to their first before they travel and again in the part, and equal texts of a
 batch likewise, so copies by the thousand cost one sort each. The number of parts follows the number of bytes.
 

@@ -11,8 +11,12 @@ buckets, in ROUNDS rounds. What is linked then forms components, and only classe
 paired in the last round, so that no link between different components is lost. Every link lies inside one component,
 so then the overlaps of all classes of each component are counted, in blocks: no link inside one is lost either.
 
-Defined results: null text is empty; empty sets link with nothing; rows that share a doc_id are separate
-members with the same id; a component's id is the least doc_id that is not null.
+Rows get a key of their own first (docs are written once with it), and everything below goes by that key.
+
+Defined results: null text is empty; empty sets link with nothing; rows that share a doc_id, or have none, are separate
+members, and links through them count like any other; a component's id is the least doc_id that is not null (null
+if there is none). keep_one keeps of each component the row with that id, of several the first read; rows with
+empty sets all stay.
 Sets are told apart by 64-bit hashes of their shingles (expected collisions: n * n / 2**65 for n classes).
 """
 
@@ -26,20 +30,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.shared import Scratch, chain, chunks, mix, of_rows, strings, words
+from gridloom.llm.shared import Scratch, chain, chunks, mix, of_rows, strings, trimmed, unused, words
 
 WORDS = 5
-BITS = 24
+BITS = 22
 PIECE = 1 << 18
 FRAGMENTS = 4
 BLOCKS, GROUP, SIDE = 32, 1000, 10_000
 ROUNDS, LEADERS = 2, 16
 #: A part of a component holds about so many shingles at most.
 PART = 1 << 19
+#: A task remembers so many sets; beyond that some are counted or sent twice, which changes no result.
+REMEMBERED = 100_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -69,7 +75,7 @@ def prefix_size(n):
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (piece is null), then this task's share of the sketch (doc columns are null)."""
-    names = ["doc_id", "n", "c", "piece", "task", "counts"]
+    names = ["row", "doc_id", "n", "c", "piece", "task", "counts"]
     sketch = np.zeros(1 << BITS, np.uint32)
     seen: set[int] = set()
     kind = pa.int64()
@@ -85,16 +91,18 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(v) and keys[-1] not in seen:
                     fresh.append(v)
                     seen.add(keys[-1])
+            if len(seen) > REMEMBERED:
+                seen.clear()
             if fresh:
                 place, n = np.unique(np.concatenate(fresh) >> np.uint64(64 - BITS), return_counts=True)
                 sketch[place.astype(np.int64)] += n.astype(np.uint32)
         none = pa.nulls(batch.num_rows, pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int32()), pa.array(keys, pa.int64()), none, none, pa.nulls(batch.num_rows, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(ns, pa.int32()), pa.array(keys, pa.int64()), none, none, pa.nulls(batch.num_rows, pa.binary())], names=names)
     task = TaskContext.get().partitionId()
     for i in range(0, 1 << BITS, PIECE):
         if (part := sketch[i : i + PIECE]).any():
             counts = zlib.compress(np.minimum(part, 65535).astype(np.uint16).tobytes() if part.max() < 65535 else b"L" + part.tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([i // PIECE], pa.int32()), pa.array([task], pa.int32()), pa.array([counts])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([i // PIECE], pa.int32()), pa.array([task], pa.int32()), pa.array([counts])], names=names)
 
 
 def _unpacked(counts: bytes) -> np.ndarray:
@@ -144,6 +152,8 @@ def _prefixes(levels):
                     cs.append(np.full(p, c, np.int64))
                     ns.append(np.full(p, len(rank), np.int32))
                     at_.append(np.arange(p, dtype=np.int32))
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 if hs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (cs, ns, at_))], names=["h", "c", "n", "pos"])
 
@@ -266,14 +276,14 @@ def _parts(texts: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame
     sizes = sizes.select("comp", F.ceil(F.greatest(F.col("k") / GROUP, F.col("s") / PART)).cast("int").alias("parts"))
     g = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("comp"), F.lit(groups))).otherwise(F.col("comp"))
     dealt = placed.join(sizes, "comp").select("c", g.alias("g"), "parts", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("q"))
-    sets = texts.join(classes.join(dealt.select("c"), "c"), "doc_id").select("c", "text").mapInArrow(_sets, "c long, set binary")
+    sets = texts.join(classes.join(dealt.select("c"), "c"), "row").select("c", "text").mapInArrow(trimmed(_sets), "c long, set binary")
     sent = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("r")).join(sets, "c")
     return sent.select("g", F.least("q", "r").alias("i"), F.greatest("q", "r").alias("j"), "q", "c", "set")
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
-    """Members (doc_id, n_shingles, c: its class), all links between classes (a, b, overlap), and where they are kept."""
-    texts, members, classes, links, scratch = _tree(docs)
+    """Members (row, doc_id, n_shingles, c: its class), all links between classes (a, b, overlap), and where they are kept."""
+    _, texts, members, classes, links, scratch = _tree(docs)
     labels = components(links, scratch, "final")
     few = labels.groupBy("comp").agg(F.count("*").alias("k")).filter("k <= 2")
     pairs = links.join(labels.join(few, "comp").select(F.col("c").alias("a")), "a").select("a", "b", "overlap")
@@ -288,23 +298,29 @@ def _n_links(texts: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFra
     return counts.unionByName(labels.join(few, "comp").select("c", F.lit(1).cast("long").alias("n"))).groupBy("c").agg(F.sum("n").alias("n_links"))
 
 
-def _tree(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, Scratch]:
-    """Texts, members, classes, enough links between classes to tell the components, and where they are kept."""
+def _tree(docs: DataFrame) -> tuple[tuple[DataFrame, str], DataFrame, DataFrame, DataFrame, DataFrame, Scratch]:
+    """Rows and the name of their key, texts, members, classes, enough links between classes to tell the components, and where they are kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
-    texts = docs.select("doc_id", "text")
-    kind = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in (("n", T.IntegerType()), ("c", T.LongType()), ("piece", T.IntegerType()), ("task", T.IntegerType()), ("counts", T.BinaryType())))])
-    first = scratch.keep(texts.mapInArrow(_members, kind), "first")
-    members = first.filter("n is not null").select("doc_id", F.col("n").alias("n_shingles"), "c")
+    key = unused(docs.columns, "row_key")
+    rows = scratch.keep(docs.withColumn(key, F.monotonically_increasing_id()), "rows", "zstd")
+    texts = rows.select(F.col(key).alias("row"), "doc_id", "text")
+    kind = T.StructType([T.StructField("row", T.LongType()), docs.schema["doc_id"], *(T.StructField(n, t) for n, t in (("n", T.IntegerType()), ("c", T.LongType()), ("piece", T.IntegerType()), ("task", T.IntegerType()), ("counts", T.BinaryType())))])
+    first = scratch.keep(texts.mapInArrow(trimmed(_members), kind), "first")
+    members = first.filter("n is not null").select("row", "doc_id", F.col("n").alias("n_shingles"), "c")
     levels = spark.sparkContext.broadcast(_levels(first.filter("piece is not null").select("piece", "task", "counts")))
 
-    # Postings of the prefixes; those that only one class has are dropped before they are written.
-    posts = texts.mapInArrow(_prefixes(levels), "h long, c long, n int, pos int")
-    shared = scratch.keep(_shared(posts), "shared")
+    # Postings of the prefixes. Which shingles several classes have is told by partial aggregates, and
+    # the rest by joins, so that no bucket has to meet in one task.
+    posts = texts.select("text").mapInArrow(trimmed(_prefixes(levels)), "h long, c long, n int, pos int")
+    buckets = posts.groupBy("h").agg(F.min(F.struct("c", "n")).alias("least"), F.max("c").alias("most")).filter("least.c <> most")
+    buckets = scratch.keep(buckets.select("h", F.col("least.c").alias("least_c"), F.col("least.n").alias("least_n")), "buckets")
+    shared = scratch.keep(posts.join(buckets, "h"), "shared")
+    scratch.drop("buckets")
 
     # First rounds: each class with one class of each of its buckets, another one each time. They are
     # linear in the postings, and put most of what is linked into one component.
-    classes = scratch.keep(members.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")), "classes")
+    classes = scratch.keep(members.filter("n_shingles > 0").groupBy("c").agg(F.min("row").alias("row"), F.min("n_shingles").alias("n")), "classes")
     heads = scratch.keep(shared.groupBy("c").agg(F.collect_list("h").alias("head")), "heads")  # each at most one document's prefix
     star = shared.filter("c <> least_c").select(F.col("least_c").alias("a"), F.col("c").alias("b"), F.col("least_n").alias("na"), F.col("n").alias("nb"))
     tried = links = labels = None
@@ -340,21 +356,14 @@ def _tree(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame,
     if more.limit(1).count():
         links = scratch.keep(links.unionByName(_verified(texts, classes, more)), "links")
     scratch.drop("shared", "heads", "placed", "more", *(f"tried-{turn}" for turn in range(ROUNDS)))
-    return texts, members, classes, links, scratch
-
-
-def _shared(posts: DataFrame) -> DataFrame:
-    """h, c, n of the shingles that several classes have, and the least class of each."""
-    bucket = Window.partitionBy("h")
-    least = F.min(F.struct("c", "n")).over(bucket)
-    return posts.select("h", "c", "n", "pos", least.alias("least"), F.max("c").over(bucket).alias("most")).filter("least.c <> most").select("h", "c", "n", "pos", F.col("least.c").alias("least_c"), F.col("least.n").alias("least_n"))
+    return (rows, key), texts, members, classes, links, scratch
 
 
 def _star(shared: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     """a, b, na, nb: every class with the class of its bucket that one of LEADERS hashes of this turn picks, if it's in another component."""
     placed = shared.select("h", "c", "n").join(labels, "c", "left").select("h", "c", "n", F.coalesce("comp", "c").alias("comp"))
-    lead = F.min(F.struct(F.xxhash64("c", F.pmod("h", F.lit(LEADERS)), F.lit(turn)), "c", "n", "comp")).over(Window.partitionBy("h"))
-    rows = placed.withColumn("lead", lead).filter("lead.comp <> comp").select("h", "c", "n", F.col("lead.c").alias("c2"), F.col("lead.n").alias("n2"))
+    lead = placed.groupBy("h").agg(F.min(F.struct(F.xxhash64("c", F.pmod("h", F.lit(LEADERS)), F.lit(turn)), "c", "n", "comp")).alias("lead"))
+    rows = placed.join(lead, "h").filter("lead.comp <> comp").select("h", "c", "n", F.col("lead.c").alias("c2"), F.col("lead.n").alias("n2"))
     first = F.col("c") < F.col("c2")
     either = lambda x, y: (F.when(first, F.col(x)).otherwise(F.col(y)), F.when(first, F.col(y)).otherwise(F.col(x)))
     (a, b), (na, nb) = either("c", "c2"), either("n", "n2")
@@ -372,7 +381,7 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
     n = ends.count()
     block = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
     dealt = pairs.select("a", "b", "na", "nb", block("a", max(BLOCKS, n // GROUP)).alias("ga"), block("b", max(1, n // SIDE)).alias("gb"))
-    sets = texts.join(one, "doc_id").select("c", "text").mapInArrow(_sets, "c long, set binary")
+    sets = texts.join(one, "row").select("c", "text").mapInArrow(trimmed(_sets), "c long, set binary")
     needed = dealt.select(F.col("a").alias("c"), "ga", "gb").unionByName(dealt.select(F.col("b").alias("c"), "ga", "gb")).distinct()
     sent = needed.join(sets, "c").select(F.col("ga").alias("xa"), F.col("gb").alias("xb"), "c", "set")
     return dealt.groupBy("ga", "gb").cogroup(sent.groupBy("xa", "xb")).applyInPandas(_linked, "a long, b long, overlap long")
@@ -380,9 +389,10 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFra
 
 def cluster(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (to other classes) of every row."""
-    texts, members, classes, links, scratch = _tree(docs)
+    _, texts, members, classes, links, scratch = _tree(docs)
     labels = components(links, scratch, "final")
     ends = scratch.keep(_n_links(texts, classes, labels), "ends")
+    scratch.drop("rows", "classes", "links", *(f"links-{turn}" for turn in range(ROUNDS)))
     found = _placed(members, labels).join(ends, "c", "left")
     return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("n_links")), F.lit(0)).cast("long").alias("n_links"))
 
@@ -396,7 +406,10 @@ def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but one row of each component; rows with empty sets and null ids stay."""
-    _, members, _, links, scratch = _tree(docs)
-    gone = _placed(members, components(links, scratch, "final")).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """docs without all but one row of each component; the columns stay the same."""
+    (rows, key), _, members, _, links, scratch = _tree(docs)
+    labels = components(links, scratch, "final")
+    full = members.filter("n_shingles > 0").join(labels, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    best = full.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
+    stays = best.select(F.col("best.row").alias("row")).unionByName(members.filter("n_shingles = 0").select("row"))
+    return rows.join(stays, rows[key] == stays["row"], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

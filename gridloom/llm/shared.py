@@ -1,14 +1,16 @@
 """What the operators of this subpackage share: tables, scratch tables and vectorised text kernels.
 
 Scratch tables go to the folder named by ``spark.checkpoint.dir`` (shared by driver and executors), so
-a lost executor never loses them. Only where that setting is absent, as in tests, a temporary one is set.
+a lost executor never loses them. Only a session on one machine may leave that setting out; a temporary one is set then.
 """
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 M64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Shuffle files behind a table go as soon as it is written.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -30,26 +32,45 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gridloom.scratch.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
         spark.conf.set("gridloom.scratch.dir", found)
     return found
 
 
+def unused(names: list[str], name: str) -> str:
+    """name, lengthened until no column bears it."""
+    while name.lower() in {n.lower() for n in names}:
+        name += "_"
+    return name
+
+
+_writes = {"lock": threading.Lock(), "now": 0, "before": None}
+
+
 class Scratch:
     """Tables written to the shared folder and reread: they cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
         conf = self.spark.conf
-        before = conf.get(CLEAN, None)
-        conf.set(CLEAN, "true")
+        with _writes["lock"]:  # the setting stays on until the last of several concurrent writes ends
+            if not _writes["now"]:
+                _writes["before"] = conf.get(CLEAN, None)
+                conf.set(CLEAN, "true")
+            _writes["now"] += 1
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").option("compression", codec).parquet(path)
         finally:
-            conf.set(CLEAN, before) if before is not None else conf.unset(CLEAN)
+            with _writes["lock"]:
+                _writes["now"] -= 1
+                if not _writes["now"]:
+                    conf.set(CLEAN, _writes["before"]) if _writes["before"] is not None else conf.unset(CLEAN)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -60,6 +81,23 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def trimmed(run: Callable) -> Callable:
+    """run, over batches; then the worker, which lives on, hands free memory back to the system."""
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return whole
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = h ^ (h >> np.uint64(30))
@@ -73,14 +111,14 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64 for i below n."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK + 1)
+    """BASE**i and its inverse modulo 2**64 for i below n. Those of a chunk are kept, longer ones aren't."""
+    made = _powers if n <= CHUNK + 1 else {}
+    if not made:
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            step = np.full(size, base, np.uint64)
+            step = np.full(max(n, CHUNK + 1), base, np.uint64)
             step[0] = 1
-            _powers[name] = np.multiply.accumulate(step)
-    return _powers["up"][:n], _powers["down"][:n]
+            made[name] = np.multiply.accumulate(step)
+    return made["up"][:n], made["down"][:n]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:

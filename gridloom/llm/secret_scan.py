@@ -7,7 +7,11 @@ alternatives intersect their postings, and only candidate texts are verified by
 a rule from which no mandatory trigram follows scans all texts.
 
 Defined results: null text counts as empty; a null doc_id is a row like any other; rows that repeat are
-each reported; other columns are ignored. The result has one row per input row.
+each reported; other columns are kept, but for one that is named like the result, which find_secrets replaces. redact
+changes no column but text. The result has one row per input row.
+
+Places are running sums of the lengths of what stands between and in the matches, so long texts with many
+matches cost n log n.
 """
 
 from __future__ import annotations
@@ -19,6 +23,9 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.native import blocks, let, maxima, part, sums
+from gridloom.llm.shared import unused
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -144,32 +151,36 @@ def _candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame | N
     return found.filter(some), flags
 
 
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
 def _spans(rule: Rule, number: int) -> Column:
     """The rule's matches in ``__text``: array of (start, kind number, end) in code points, failing ones dropped."""
-    p = "'" + rule.pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    found = F.expr(
-        f"""aggregate(
-            sequence(0, size(regexp_extract_all(__text, {p}, 0)) - 1),
-            named_struct('at', 0, 'out', cast(array() as array<struct<start:int,kind:int,end:int,n:int>>),
-                'gaps', split(__text, {p}, -1), 'whole', regexp_extract_all(__text, {p}, 0), 'part', regexp_extract_all(__text, {p}, {rule.group})),
-            (a, i) -> named_struct('at', a.at + length(a.gaps[i]) + length(a.whole[i]), 'out', concat(a.out, array(named_struct(
-                'start', a.at + length(a.gaps[i]), 'kind', {number}, 'end', a.at + length(a.gaps[i]) + length(a.whole[i]), 'n', length(a.part[i])))),
-                'gaps', a.gaps, 'whole', a.whole, 'part', a.part),
-            a -> transform(filter(a.out, x -> x.n >= {rule.least}), x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end)))"""
-    )
-    return F.when(F.expr(f"__text rlike {p}"), found).otherwise(F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))
-
-
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs and ``secrets``: array of (start, kind number, end) by start, then kind as listed in rules."""
-    docs = docs.drop("secrets")
+    text, pattern = F.col("__text"), F.lit(rule.pattern)
+    sizes = lambda strings: F.transform(strings, F.length)
+    gaps = sizes(F.split(text, rule.pattern, -1))
+    whole = lambda group: sizes(F.regexp_extract_all(text, pattern, F.lit(group)))
+
+    def spans(m: Column) -> Column:
+        ends = sums(F.zip_with(F.slice(m["gaps"], F.lit(1), F.size(m["whole"])), m["whole"], lambda g, w: g + w))
+        every = F.transform(ends, lambda e, i: F.struct((e - F.get(m["whole"], i)).alias("start"), F.lit(number).alias("kind"), e.alias("end"), F.get(m["part"], i).alias("n")))
+        kept = F.filter(every, lambda x: x["n"] >= rule.least)
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+    found = let(F.struct(gaps.alias("gaps"), whole(0).alias("whole"), whole(rule.group).alias("part")), spans)
+    return F.when(F.rlike(text, pattern), found.cast(SPANS)).otherwise(F.expr(f"cast(array() as {SPANS})"))
+
+
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "secrets") -> DataFrame:
+    """docs and ``into``: array of (start, kind number, end) by start, then kind as listed in rules."""
+    docs = docs.drop(into)
     names = docs.columns
     candidates, flags = _candidates(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rules)
     rows = docs if candidates is None else docs.join(candidates, docs["doc_id"].eqNullSafe(candidates["__doc"]), "left")
     rows = rows.withColumn("__text", F.coalesce("text", F.lit("")))
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
+    none = F.expr(f"cast(array() as {SPANS})")
     each = [_spans(r, i) if flags[r.kind] is None else F.when(F.col(flags[r.kind]), _spans(r, i)).otherwise(none) for i, r in enumerate(rules)]
-    return rows.select(*(F.col(f"`{c}`") for c in names), F.array_sort(F.concat(*each)).alias("secrets"))
+    return rows.select(*(F.col(f"`{c}`") for c in names), F.array_sort(F.concat(*each)).alias(into))
 
 
 def spans_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -180,11 +191,15 @@ def spans_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, by: str = "[SECRET]") -> DataFrame:
     """docs with each run of overlapping spans in text replaced; the columns stay the same."""
-    found = find_secrets(docs, rules)
-    mark = by.replace("\\", "\\\\").replace("'", "\\'")
-    cut = F.expr(
-        f"""aggregate(secrets, named_struct('at', 0, 'out', ''),
-            (a, x) -> named_struct('at', greatest(a.at, x.end), 'out', if(x.start >= a.at, concat(a.out, substring(text, a.at + 1, x.start - a.at), '{mark}'), a.out)),
-            a -> concat(a.out, substring(text, a.at + 1, length(text))))"""
-    )
-    return found.withColumn("text", F.when(F.size("secrets") > 0, cut).otherwise(F.col("text"))).select(*docs.columns)
+    into = unused(docs.columns, "secret_spans")
+    spans = F.col(into)
+    reach = maxima(F.transform(spans, lambda x: x["end"]))
+
+    def cut(m: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(m["reach"], i - 1)).otherwise(F.lit(0))
+        parts = F.transform(spans, lambda x, i: F.when(x["start"] >= before(i), F.concat(part(m["cut"], before(i), x["start"]), F.lit(by))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), part(m["cut"], F.element_at(m["reach"], -1), F.length("text")))
+
+    clean = let(F.struct(blocks(F.col("text")).alias("cut"), reach.alias("reach")), cut)
+    found = find_secrets(docs, rules, into)
+    return found.withColumn("text", F.when(F.size(into) > 0, clean).otherwise(F.col("text"))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -10,7 +10,7 @@ reference, its place and how many tokens it expands to. The template marks turns
 texts again. The loss mask covers the content of assistant turns: spans of code points, without marks.
 
 Defined results: null text is empty and a null role is an empty role; turns are in order of turn (null
-first), ties by role, then text; repeated rows are repeated turns; conversations without an id form one.
+first), ties by role, then by the text as it was before escaping; repeated rows are repeated turns; conversations without an id form one.
 One output row holds a whole conversation, as its format demands.
 """
 
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.native import blocks, let, part, sums
+
 #: Tokens that an attachment without a count of its own expands to.
 EXPANDS = {"image": 256, "audio": 128, "document": 512}
 PART = "struct<type:string,text:string,ref:string,tokens:int>"
@@ -62,17 +64,17 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """
     role = F.coalesce("role", F.lit(""))
     body = F.array_join(F.transform("parts", _visit), "")
+    plain = F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], p["ref"], F.lit(""))), "")
     files = F.filter("parts", lambda p: p["type"] != "text")
-    turn = F.struct("turn", role.alias("role"), body.alias("body"), F.transform(files, lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), _expanded(p).alias("tokens"))).alias("files"))
+    turn = F.struct("turn", role.alias("role"), plain.alias("plain"), body.alias("body"), F.transform(files, lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), _expanded(p).alias("tokens"))).alias("files"))
     rows = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     head = lambda x: F.concat(F.lit("[TURN]"), escape(x["role"]), F.lit("[SAYS]"))
-    said = rows.select("conv_id", "t", F.transform("t", lambda x: F.struct(F.length(head(x)).alias("head"), F.length(x["body"]).alias("body"), (x["role"] == "assistant").alias("loss"))).alias("sizes"))
-    # The places of all turns in one pass: each entry adds what stands before it.
-    places = F.expr(
-        """aggregate(sizes, named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,loss:boolean>>)),
-            (a, x) -> named_struct('at', a.at + x.head + x.body + 5, 'out',
-                concat(a.out, array(named_struct('start', a.at + x.head, 'end', a.at + x.head + x.body, 'loss', x.loss)))), a -> a.out)"""
-    )
+    sizes = F.transform("t", lambda x: F.struct(F.length(head(x)).alias("head"), F.length(x["body"]).alias("body"), (x["role"] == "assistant").alias("loss")))
+    said = rows.select("conv_id", "t", sizes.alias("sizes"))
+    # Where turns end: running sums of their lengths, [END] included.
+    ends = sums(F.transform("sizes", lambda x: x["head"] + x["body"] + 5))
+    said = said.select("conv_id", "t", "sizes", ends.alias("ends"))
+    places = F.zip_with("sizes", "ends", lambda x, e: F.struct((e - 5 - x["body"]).alias("start"), (e - 5).alias("end"), x["loss"].alias("loss")))
     whole = F.array_join(F.transform("t", lambda x: F.concat(head(x), x["body"], F.lit("[END]"))), "")
     made = said.select("conv_id", "t", whole.alias("formatted"), places.alias("places"))
     attachments = F.flatten(F.transform("t", lambda x, i: F.transform(x["files"], lambda f: F.struct(i.alias("turn"), F.get("places", i)["start"].alias("place"), f["type"].alias("type"), f["ref"].alias("ref"), f["tokens"].alias("tokens")))))
@@ -88,4 +90,4 @@ def read_back(formatted: Column) -> Column:
 
 def under_mask(formatted: Column, mask: Column) -> Column:
     """All text under the mask, unescaped, in order."""
-    return unescape(F.array_join(F.transform(mask, lambda m: F.substring(formatted, m["start"] + 1, m["end"] - m["start"])), ""))
+    return unescape(let(blocks(formatted), lambda cut: F.array_join(F.transform(mask, lambda m: part(cut, m["start"], m["end"])), "")))

@@ -5,11 +5,12 @@ length. Each language keeps several centroids, found by spherical k-means; a tex
 the centroid nearest by cosine. Texts farther from every centroid than the calibrated distance are
 rejected if they have at least EVIDENCE bytes, and so are all texts without a letter (``und``).
 
-Document frequencies cover all learning documents. The clustering alone is fitted on a sample of about
-``sample`` of them, spread evenly over languages, chosen by a hash of the id.
+Document frequencies cover all learning documents. The clustering alone is fitted on about ``sample`` different
+texts among them, spread evenly over languages (40 a language at least), chosen by a hash of the text.
 
 Defined results: null or letterless text is ``und`` with score 0; rows with null lang or null doc_id are
-scored but not learnt from; without any learning row all texts are ``und``; ties go to the language first by name.
+scored but not learnt from; without any learning row all texts are ``und``; ties go to the language first by name;
+repeated texts weigh as one in the clustering; an input column named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.shared import chunks, mix, strings, with_columns
+from gridloom.llm.shared import chunks, mix, strings, trimmed, with_columns
 
 DIM = 4096
-ROWS = 256
+ROWS = 128
 #: Shorter texts, in bytes, are too little to be called far from all languages.
 EVIDENCE = 40
 _LETTER = np.full(256, 32, np.uint8)
@@ -81,12 +82,20 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = strings(batch.column("text"))
         for lo, hi, part, at in chunks(data, offsets, rows=ROWS):
-            x = np.minimum(counts(part, at), 60000).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "vector"])
+            x = counts(part, at)
+            places = [np.flatnonzero(r) for r in x]
+            packed = [pa.array([v.tobytes() for v in column], pa.binary()) for column in ((p.astype(np.uint16) for p in places), (r[p] for r, p in zip(x, places, strict=True)))]
+            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(lo, hi - lo), *packed], names=["lang", "place", "n"])
+
+
+def _dense(place: bytes, n: bytes) -> np.ndarray:
+    out = np.zeros(DIM, np.float32)
+    out[np.frombuffer(place, np.uint16)] = np.frombuffer(n, np.float32)
+    return out
 
 
 #: So many languages are fitted at once; further ones in further groups.
-LANGUAGES = 500
+LANGUAGES = 100
 
 
 def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -104,24 +113,28 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(docs: DataFrame, learn: Column, clusters: int = 3, sample: int = 2400) -> Model:
     """Learns from text and lang of the documents that ``learn`` picks."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
-    found = rows.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    found = rows.select("text").mapInArrow(trimmed(_frequencies), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(DIM + 1)
     for r in found:  # DIM + 1 rows at any size
         df[r.feature] = r.n
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    texts = rows.select("lang", "text", F.xxhash64("text", F.lit("language sample")).alias("h"))
+    sizes = {r.lang: r.n for r in texts.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}  # a row a language
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])).astype(np.float32) + 1
     names = sorted(sizes)
     if not names:
         return Model(idf, [], np.zeros((0, DIM), np.float32), np.zeros(0, int), 0.0)
     each = max(40, sample // len(names))
-    hashed = (F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")) % 1_000_000 + 1_000_000) % 1_000_000
+    hashed = F.pmod("h", F.lit(1_000_000))
     centres, owner, nearest = [], [], [1.0]
     for first in range(0, len(names), LANGUAGES):
         group = names[first : first + LANGUAGES]
         share = F.create_map(*(F.lit(v) for k in group for v in (k, each / sizes[k])))
-        some = rows.filter(hashed < share[F.col("lang")] * 1_000_000).select("text", "lang").mapInArrow(_vectors, "lang string, vector binary").limit(2 * each * len(group)).toArrow()
+        # Different texts, about ``each`` a language, so about LANGUAGES * each sparse vectors come together.
+        some = texts.filter(hashed < share[F.col("lang")] * 1_000_000).dropDuplicates(["lang", "h"]).mapInArrow(trimmed(_vectors), "lang string, place binary, n binary").toArrow()
         langs = np.array(some.column("lang").to_pylist(), object)
-        x = weighted(np.stack([np.frombuffer(v, np.uint16) for v in some.column("vector").to_pylist()]).astype(np.float32), idf) if len(langs) else np.zeros((0, DIM), np.float32)
+        x = weighted(np.stack([_dense(*v) for v in zip(some.column("place").to_pylist(), some.column("n").to_pylist(), strict=True)]), idf) if len(langs) else np.zeros((0, DIM), np.float32)
+        order = np.lexsort((x @ np.arange(1, DIM + 1, dtype=np.float32), langs.astype(str))) if len(langs) else np.zeros(0, int)  # the same at any partitioning
+        langs, x = langs[order], x[order]
         full = x.any(1) if len(x) else np.zeros(0, bool)
         for i, name in enumerate(group, first):
             own = x[(langs == name) & full] if len(langs) else x
@@ -157,4 +170,4 @@ def detect(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
             yield with_columns(batch, keep, {"lang_pred": pa.array(names[pred].tolist(), pa.string()), "lang_score": pa.array(score), "lang_rejected": pa.array((pred == len(model.names)) | enough & (score < model.least))})
 
     fields = [docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())]
-    return docs.mapInArrow(run, T.StructType(fields))
+    return docs.mapInArrow(trimmed(run), T.StructType(fields))

@@ -7,6 +7,9 @@ bitset. Only the number of pieces of each length matters for this, so it runs ov
 ``capacity`` numbers, and a combination is used as often as the pieces allow. Pieces then find their place
 by their rank among those of the same length, which hashed parts count separately.
 
+Special tokens of the vocabulary that a text spells out get their ids, as the library gives them; with
+``special=False`` they are ordinary text.
+
 Defined results: null text counts as empty and gives the end id alone; rows are packed separately whatever their ids;
 an empty table gives no pieces.
 """
@@ -22,15 +25,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.llm.shared import trimmed
+
 END = 2
 CAPACITY = 1024
 #: Pieces of one length are ranked in parts of about so many.
-PART = 1000
+PART = 256
 #: Beyond these characters the two libraries' character tables might differ, so such texts go through ``tokenizers``.
 _OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ɏ]")
 
 
-def encoder(vocabulary: str, ranks: str, pattern: str):
+def encoder(vocabulary: str, ranks: str, pattern: str, special: bool = True):
     """text -> ids as uint32. ranks is the same vocabulary in another library's form, which is faster on common text."""
     import base64
 
@@ -38,24 +43,26 @@ def encoder(vocabulary: str, ranks: str, pattern: str):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(vocabulary)
-    exact.encode_special_tokens = True
+    exact.encode_special_tokens = not special
+    spelt = [t.content for t in exact.get_added_tokens_decoder().values()] if special else []
+    other = re.compile("|".join([_OTHER.pattern, *map(re.escape, spelt)]))
     with open(ranks, "rb") as file:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        if _OTHER.search(text):
+        if other.search(text):
             return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.asarray(fast.encode_to_numpy(text), np.uint32)
 
     return encode
 
 
-def pieces(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, capacity: int = CAPACITY, special: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian unsigned 32-bit) of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, ranks, pattern)
+        encode = encoder(vocabulary, ranks, pattern, special)
         for batch in batches:
             doc, piece, start, length, ids = [], [], [], [], []
 
@@ -77,7 +84,7 @@ def pieces(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, capacity:
                 yield made()
 
     kind = [docs.schema["doc_id"], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())]
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType(kind))
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), T.StructType(kind))
 
 
 def _fullest(left: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -151,4 +158,4 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             k = rank - run[:, 1]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(run[:, 2] + k // run[:, 3]), pa.array(run[:, 4] + k % run[:, 3] * length)], names=[*keep, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, T.StructType([*(rows.schema[c] for c in keep), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    return ranked.mapInArrow(trimmed(place), T.StructType([*(rows.schema[c] for c in keep), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))

@@ -1,13 +1,14 @@
-"""Removal of repeated passages by hashed windows, in place of longest previous factors.
+"""Removal of repeated passages by longest previous factors.
 
 Every byte that lies in a string of SPAN bytes which also starts earlier (in a smaller doc_id, or earlier
 in the same document) is removed; first copies stay.
 
 The corpus is searched in parts. Each string of SPAN bytes belongs to the part named by the hash of its
 least GRAM-byte gram, so equal strings meet in one part, and strings next to each other mostly share the
-gram: they travel together as one stretch of text. A part sorts the windows of SPAN bytes by their first 8 bytes,
-a 64-bit hash and position, and compares neighbours of one hash byte by byte: of equal ones all but the first are later
-copies. No longer suffix order, factor lengths or previous and next smaller positions are computed. Equal
+gram: they travel together as one stretch of text. A part puts its places into suffix order, as far as
+SPAN bytes tell them apart, with the common prefixes of neighbours; the previous and next smaller position in that
+order then give each place's longest previous factor, cut at SPAN. Places whose factor reaches SPAN are later copies.
+Places whose string's hash occurs once in the part are left out first: their factors can't reach SPAN. Equal
 stretches are collapsed to their first before they travel and again in the part, and equal texts of a
 batch likewise, so copies by the thousand cost one sort each. The number of parts follows the number of bytes.
 
@@ -28,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.shared import CHUNK, Scratch, chunks, mix, of_rows, powers, prefix_hash, strings
+from gridloom.llm.shared import CHUNK, Scratch, chunks, mix, of_rows, powers, prefix_hash, strings, trimmed
 
 GRAM = 12
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 FLUSH_BYTES = 16 << 20
 NOTHING = -(1 << 63)
 
@@ -189,6 +190,65 @@ def _split(parts: int, span: int):
     return run
 
 
+_BYTES = np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64)
+
+
+def suffix_order(text: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes that start at ``at``, told apart by span bytes, equal ones as given; and the common prefix
+    of each with the one before it (at most span, 0 for the first). Groups of equal prefixes are refined 8 bytes at a time.
+    """
+    n = len(at)
+    padded = np.concatenate([text, np.zeros(8 + span, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), ">u8", padded, 0, (1,))
+    order, head = np.arange(n), np.zeros(n, bool)
+    lcp = np.full(n, span, np.int32)
+    head[:1], lcp[:1] = True, 0
+    for k in range(0, span, 8):
+        word = eight[at[order] + k].astype(np.uint64)
+        if span - k < 8:
+            word &= ~np.uint64(0) << np.uint64(8 * (8 - span + k))
+        first = np.flatnonzero(head)
+        group = np.cumsum(head) - 1
+        mixed = np.zeros(len(first), bool)
+        mixed[group[word != word[first][group]]] = True
+        some = np.flatnonzero(mixed[group])
+        if not len(some):
+            continue
+        by = some[np.lexsort((word[some], group[some]))] if k else np.argsort(word, kind="stable")
+        order[some], word[some] = order[by], word[by]
+        new = some[1:][(group[some[1:]] == group[some[:-1]]) & (word[some[1:]] != word[some[:-1]])]
+        head[new] = True
+        lcp[new] = k + 7 - np.searchsorted(_BYTES, word[new] ^ word[new - 1], "right")
+    return order, lcp
+
+
+def _smaller_before(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The common prefix of each suffix with the nearest one before it, in suffix order, of a smaller position; 0 without one."""
+    to, low = np.arange(-1, len(position) - 1), lcp.copy()
+    todo = np.arange(len(position))
+    while len(todo):
+        todo = todo[(to[todo] >= 0) & (low[todo] > 0)]
+        todo = todo[position[to[todo]] >= position[todo]]
+        j = to[todo]
+        less, on = np.minimum(low[todo], low[j]), to[j]
+        low[todo], to[todo] = less, on
+    return np.where(to >= 0, low, 0)
+
+
+def previous_factors(position: np.ndarray, lcp: np.ndarray, span: int) -> np.ndarray:
+    """The longest previous factor, cut at span, of each suffix in suffix order; equal suffixes stand by position.
+
+    Within a run of equal suffixes the previous smaller position is in the run, but for those at its first position; so only
+    the runs' heads look beyond their run, back for the previous and ahead for the next smaller position.
+    """
+    head = np.flatnonzero(lcp < span)
+    run = np.cumsum(lcp < span) - 1
+    own, prefix = position[head], lcp[head]
+    ahead = _smaller_before(own[::-1], np.append(prefix[1:], 0)[::-1])[::-1] if len(head) else prefix
+    factor = np.maximum(_smaller_before(own, prefix), ahead)[run]
+    return np.where(position > own[run], span, factor)
+
+
 def later_copies(doc: np.ndarray, place: np.ndarray, run: np.ndarray, text: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretch, first and end number of each run of strings that are later copies; stretches stand one after another in text."""
     order = np.lexsort((place, doc))
@@ -197,39 +257,30 @@ def later_copies(doc: np.ndarray, place: np.ndarray, run: np.ndarray, text: np.n
     rank[order] = np.cumsum(fresh)
     at, h = string_hashes(text, run, span)
     of = np.repeat(np.arange(len(run), dtype=np.int32), run)
-    number = np.arange(len(of), dtype=np.int64) - np.repeat(np.cumsum(run) - run, run)
-    # Only strings whose hash occurs twice can have a previous factor of SPAN bytes.
     by = np.argsort(h)
     same = h[by][1:] == h[by][:-1]
     twice = np.zeros(len(h), bool)
     twice[by[1:][same]] = True
     twice[by[:-1][same]] = True
     some = np.flatnonzero(twice)
+    del h, by, same, twice
     if not len(some):
         none = np.zeros(0, np.int64)
         return none, none, none
-    head = np.zeros(len(some), np.uint64)
-    for j in range(8):
-        head = head << np.uint64(8) | text[at[some] + j].astype(np.uint64)
-    position = rank[of[some]] << 8 | number[some]
-    suffixes = some[np.lexsort((position, h[some], head))]
-    # The common prefix with the suffix before reaches SPAN bytes: compared byte by byte, in blocks.
-    lcp = np.zeros(len(suffixes), bool)
-    for a in range(1, len(suffixes), 1 << 16):
-        i = np.arange(a, min(a + (1 << 16), len(suffixes)))
-        i = i[h[suffixes[i]] == h[suffixes[i - 1]]]
-        steps = np.arange(span)
-        lcp[i] = (text[at[suffixes[i]][:, None] + steps] == text[at[suffixes[i - 1]][:, None] + steps]).all(1)
-    # Within a run of equal prefixes the previous smaller position is the one before, unless it's the same place.
-    begin = np.flatnonzero(~lcp)[np.cumsum(~lcp) - 1]
-    where = rank[of] << 8 | number
-    copies = np.sort(suffixes[where[suffixes] > where[suffixes[begin]]])
+    number = some - (np.cumsum(run) - run)[of[some]]
+    position = rank[of[some]] << 32 | number
+    given = np.argsort(position, kind="stable")
+    suffixes, lcp = suffix_order(text, at[some[given]], span)
+    suffixes = given[suffixes]
+    factors = previous_factors(position[suffixes], lcp, span)
+    copies = np.sort(some[suffixes[factors >= span]])
     if not len(copies):
         return copies, copies, copies
     new = np.append(True, (copies[1:] != copies[:-1] + 1) | (of[copies[1:]] != of[copies[:-1]]))
     firsts = np.flatnonzero(new)
     lasts = np.append(firsts[1:], len(copies)) - 1
-    return of[copies[firsts]], number[copies[firsts]], number[copies[lasts]] + 1
+    base = (np.cumsum(run) - run)[of[copies[firsts]]]
+    return of[copies[firsts]], copies[firsts] - base, copies[lasts] - base + 1
 
 
 def _solve(span: int):
@@ -271,7 +322,7 @@ def repeated_spans(docs: DataFrame, span: int = 100) -> tuple[DataFrame, Scratch
     scratch = Scratch(spark, "repeats")
     total = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     parts = max(4, -(-total // PART_BYTES))
-    sent = keyed(docs).select("doc", "th", "text").mapInArrow(_split(parts, span), _KIND)
+    sent = keyed(docs).select("doc", "th", "text").mapInArrow(trimmed(_split(parts, span)), _KIND)
     spans = sent.groupBy("part").applyInPandas(_solve(span), "doc long, th long, s int, e int")
     spans = spans.select("doc", "th", F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("e").cast("long")).alias("x"))
     spans = scratch.keep(spans.groupBy("doc", "th").agg(F.collect_set("x").alias("spans")), "spans")
@@ -308,4 +359,4 @@ def remove_repeats(docs: DataFrame, span: int = 100, text: bool = True) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kinds = (("kept", T.BinaryType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()))
-    return rows.mapInArrow(run, T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in kinds)]))
+    return rows.mapInArrow(trimmed(run), T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in kinds)]))

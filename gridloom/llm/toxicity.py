@@ -1,23 +1,31 @@
 """Toxicity scores by votes of the nearest labelled examples.
 
-Texts are TF-IDF vectors over the words that the labelled sample shows to be informative; a word's
-evidence is its number of different neighbourhoods (word before, word after), so copies of one text
-don't count again and again. The examples stand in a block-max inverted index: for each word the
-largest weight in each block of examples. A query visits blocks from the highest bound down and stops
-when no bound reaches its k-th neighbour, so the neighbours are exact. Votes are weighted by cosine and
-by how many labelled rows an example stands for, then calibrated on the examples' own leave-one-out votes.
+Texts are TF-IDF vectors over all words of the labelled examples, none left out. Weights are (1 + log count) * idf *
+relevance, where relevance is 1 but for words that the examples show to go with a label: there it grows with the
+square of the evidence. A word's evidence is its number of different neighbourhoods (word before, word after), so copies
+of one text don't count again and again.
+
+The examples stand in a block-max inverted index: each word's postings are cut into blocks of BLOCK examples,
+and for each block the word's largest weight is kept. A query sums these into a bound for each block, looks into the blocks
+of the highest bounds, and then into all whose bound reaches its k-th neighbour so far, so the neighbours by cosine are
+exact. Words that no example holds scale all cosines of a text alike and are left out of its length. Votes are
+weighted by cosine and by how many labelled rows an example stands for, then calibrated on the examples'
+own leave-one-out votes.
 
 The classifier is fitted on at most ``examples`` labelled rows a class, chosen by a hash of the id.
 Document frequencies are counted over all documents.
 
-Defined results: null text counts as empty; a text without any informative word gets the share of toxic examples
-among those without one; without labelled rows every score is 0. Ties between neighbours go to the earlier example.
+Defined results: null text counts as empty; a text without any word of an example gets the share of toxic examples;
+without labelled rows every score is 0. Ties between neighbours go to the earlier example. An id that is
+labelled both ways counts as toxic; of several texts with one id the least is learnt. An input column that is named like a
+result is replaced by it.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,25 +33,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.shared import chunks, mix, of_rows, strings, with_columns, words
+from gridloom.llm.shared import chunks, mix, of_rows, strings, trimmed, with_columns, words
 
 BLOCK = 64
+#: Blocks that a query looks into before it compares bounds with its k-th neighbour.
+FIRST = 8
+#: Evidence, in standard deviations, from which a word's relevance grows.
+EVIDENT = 4.0
 
 
 @dataclass(frozen=True)
 class Index:
-    """terms: sorted word hashes. vectors: examples by terms, of unit length. bounds: blocks by terms, their largest weights."""
+    """Examples in inverted form.
+
+    terms: sorted word hashes; weight: idf * relevance of each. Entries of a term in blocks: entry[t] to entry[t + 1], with the
+    block, its largest weight, and where its postings begin (they end where the next ones begin). Postings: example and weight, of unit length.
+    """
 
     terms: np.ndarray
-    idf: np.ndarray
-    vectors: np.ndarray
-    bounds: np.ndarray
+    weight: np.ndarray
+    entry: np.ndarray
+    block: np.ndarray
+    largest: np.ndarray
+    begin: np.ndarray
+    example: np.ndarray
+    value: np.ndarray
     toxic: np.ndarray
     stands_for: np.ndarray
     k: int
     empty: float
-    slope: float
-    shift: float
+    slope: float = 1.0
+    shift: float = 0.0
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each start to its end, and which range each is of."""
+    n = end - start
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + (start - np.cumsum(n) + n)[of], of
+
+
+def inverted(row: np.ndarray, term: np.ndarray, value: np.ndarray, terms: int) -> tuple[np.ndarray, ...]:
+    """entry, block, largest, begin, example and value of an Index."""
+    order = np.lexsort((row, term))
+    row, term, value = row[order], term[order], value[order]
+    block = row // BLOCK
+    new = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(row)]
+    begin = np.flatnonzero(new)
+    largest = np.maximum.reduceat(value, begin) if len(begin) else value
+    entry = np.searchsorted(term[begin], np.arange(terms + 1))
+    return entry, block[begin].astype(np.int32), largest, np.append(begin, len(row)), row.astype(np.int32), value
 
 
 def _stripped(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,36 +119,44 @@ def _hits(part: np.ndarray, at: np.ndarray, terms: np.ndarray) -> tuple[np.ndarr
     return both // len(terms), both % len(terms), n
 
 
-def _nearest(index: Index, q: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest examples of one query vector by cosine, and the cosines: exact, by descending block bounds."""
-    used = np.flatnonzero(q)
-    bound = index.bounds[:, used] @ q[used]
-    order = np.argsort(-bound, kind="stable")
-    ids, scores = np.zeros(0, int), np.zeros(0)
-    for start in range(0, len(order), 8):
-        blocks = order[start : start + 8]
-        if len(scores) >= index.k and bound[blocks[0]] < scores[index.k - 1] - 1e-9 or bound[blocks[0]] <= 0:
-            break
-        members = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        members = members[(members < len(index.vectors)) & (members != skip)]
-        ids, scores = np.concatenate([ids, members]), np.concatenate([scores, index.vectors[np.ix_(members, used)] @ q[used]])
-        best = np.lexsort((ids, -scores))[: index.k]
-        ids, scores = ids[best], scores[best]
-    near = scores > 1e-12
-    return ids[near], scores[near]
-
-
-def _vote(index: Index, q: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray]:
-    ids, cosine = _nearest(index, q, skip)
+def nearest(index: Index, term: np.ndarray, q: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest examples, by cosine, of a query with weights q of unit length at some terms; exact, by block bounds."""
+    none = np.zeros(0, int), np.zeros(0)
+    n, blocks = len(index.toxic), -(-len(index.toxic) // BLOCK)
+    if not n or not len(term):
+        return none
+    entry, of = _ranges(index.entry[term], index.entry[term + 1])
+    bound = np.bincount(index.block[entry], q[of] * index.largest[entry], minlength=blocks)
+    score = np.zeros(n)
+
+    def look_into(some: np.ndarray) -> None:
+        chosen = some[index.block[entry]]
+        posting, which = _ranges(index.begin[entry[chosen]], index.begin[entry[chosen] + 1])
+        score[:] += np.bincount(index.example[posting], q[of[chosen]][which] * index.value[posting], minlength=n)
+
+    k = min(index.k + (skip >= 0), n)
+    first = np.zeros(blocks, bool)
+    first[np.argsort(-bound, kind="stable")[:FIRST]] = True
+    look_into(first)
+    rest = ~first & (bound > 0) & (bound >= np.partition(score, n - k)[n - k] - 1e-6)
+    if rest.any():
+        look_into(rest)
+    if skip >= 0:
+        score[skip] = 0
+    some = np.flatnonzero((score >= np.partition(score, n - k)[n - k]) & (score > 1e-9))
+    some = some[np.lexsort((some, -score[some]))][: index.k]
+    return some, score[some]
+
+
+def _vote(index: Index, term: np.ndarray, q: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray]:
+    ids, cosine = nearest(index, term, q, skip)
     weight = cosine**4 * index.stands_for[ids]
     return (float((weight * index.toxic[ids]).sum() / weight.sum()) if weight.sum() > 0 else index.empty), ids
 
 
-def _unit(row: np.ndarray, term: np.ndarray, n: np.ndarray, idf: np.ndarray, rows: int) -> np.ndarray:
-    x = np.zeros((rows, len(idf)))
-    x[row, term] = (1 + np.log(n)) * idf[term]
-    norm = np.sqrt((x * x).sum(1, keepdims=True))
-    return x / np.where(norm > 0, norm, 1)
+def _unit(term: np.ndarray, n: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    x = (1 + np.log(n)) * weight[term]
+    return x / max(float(np.sqrt((x * x).sum())), 1e-12)
 
 
 def _calibrated(vote: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -124,70 +171,103 @@ def _calibrated(vote: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tupl
     return float(max(b[0], 0.1)), float(b[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, terms: int = 512, k: int = 15) -> Index:
+def build(found: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, stands: np.ndarray, terms: np.ndarray, weight: np.ndarray, k: int) -> Index:
+    """An index of examples, each of terms and counts."""
+    full = np.array([len(t) > 0 for t, _ in found], bool)
+    empty = float((stands * toxic).sum() / max(stands.sum(), 1e-9))
+    if len(found) and (~full).any():
+        empty = float((stands * toxic)[~full].sum() / stands[~full].sum())
+    found = [x for x in found if len(x[0])]
+    row = np.repeat(np.arange(len(found)), [len(t) for t, _ in found])
+    term = np.concatenate([t for t, _ in found]) if found else np.zeros(0, int)
+    value = np.concatenate([_unit(t, n, weight) for t, n in found]).astype(np.float32) if found else np.zeros(0, np.float32)
+    return Index(terms, weight, *inverted(row, term, value, len(terms)), toxic[full] if len(full) else toxic, stands[full] if len(full) else stands, k, empty)
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, k: int = 15) -> Index:
     """labels: doc_id and toxic (0 or 1) of the rows that may be learnt from."""
-    labels = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    spark = docs.sparkSession
+    labels = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sizes = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pick = lambda v: labels.filter(F.col("toxic") == v).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(examples)
-    chosen = F.broadcast(pick(0).unionByName(pick(1)).dropDuplicates(["doc_id"]))  # at most 2 * examples rows
-    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    chosen = F.broadcast(pick(0).unionByName(pick(1)))  # at most 2 * examples rows
+    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = {v: max(1, min(sizes.get(v, 0), examples)) for v in (0, 1)}
-    found = some.select("text", "toxic").mapInArrow(_evidence, "word long, around long, toxic int")
+    found = some.select("text", "toxic").mapInArrow(trimmed(_evidence), "word long, around long, toxic int")
     seen = found.distinct().groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     rate = (F.col("a") + F.col("b")) * (rows[1] / (rows[0] + rows[1]))
     z = (F.col("a") - rate) / F.sqrt(rate * (rows[0] / (rows[0] + rows[1])) + 0.25)
-    kept = seen.filter(F.col("a") + F.col("b") >= 4).select("word", F.abs(z).alias("z"), "a", "b").filter("z >= 4").orderBy(F.desc("z"), "word").limit(terms).collect()
-    vocabulary = np.sort(np.array([r.word for r in kept], np.int64).view(np.uint64))
+    known = seen.select("word", F.when(F.col("a") + F.col("b") >= 4, F.abs(z)).otherwise(0.0).alias("z")).toArrow()  # the words of at most 2 * examples rows
+    vocabulary, evidence = (known.column(c).to_numpy() for c in ("word", "z"))
+    order = np.argsort(vocabulary.view(np.uint64))
+    vocabulary, evidence = vocabulary.view(np.uint64)[order], evidence[order]
+    shared = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary) + 1, np.int64)
+        terms = shared.value
+        total = np.zeros(len(terms) + 1, np.int64)
         for batch in batches:
             data, offsets = strings(batch.column("text"))
             for lo, hi, part, at in chunks(data, offsets):
-                total[:-1] += np.bincount(_hits(part, at, vocabulary)[1], minlength=len(vocabulary))
+                total[:-1] += np.bincount(_hits(part, at, terms)[1], minlength=len(terms))
                 total[-1] += hi - lo
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["term", "n"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["term", "n"])
 
     df = np.zeros(len(vocabulary) + 1)
-    for r in docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row a term
-        df[r.term] = r.n
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    counted = docs.select("text").mapInArrow(trimmed(frequencies), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term
+    df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * np.maximum(1, evidence / EVIDENT) ** 2
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = strings(batch.column("text"))
             for lo, hi, part, at in chunks(data, offsets):
-                row, term, n = _hits(part, at, vocabulary)
+                row, term, n = _hits(part, at, shared.value)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
                 pack = [np.stack([term[a:b], n[a:b]]).astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("toxic").slice(lo, hi - lo), pa.array(pack, pa.binary())], names=["doc_id", "toxic", "x"])
-
-    got = some.select("doc_id", "text", "toxic").mapInArrow(sparse, T.StructType([docs.schema["doc_id"], T.StructField("toxic", T.IntegerType()), T.StructField("x", T.BinaryType())])).limit(8 * examples).collect()
-    got.sort(key=lambda r: (r.x, r.doc_id))  # likes stand together, so blocks are tight
-    packs = [np.frombuffer(r.x, np.int32).reshape(2, -1) for r in got]
-    toxic = np.array([r.toxic for r in got], float)
-    stands = np.array([sizes[r.toxic] / rows[r.toxic] for r in got])
-    x = np.zeros((len(got), len(vocabulary)))
-    for i, (term, n) in enumerate(packs):
-        x[i] = _unit(np.zeros(len(term), int), term, n, idf, 1)[0]
-    full = x.any(1) if len(x) else np.zeros(0, bool)
-    none = stands[~full]
-    empty = float((none * toxic[~full]).sum() / none.sum()) if len(none) else float((stands * toxic).sum() / max(stands.sum(), 1e-9))
-    x, toxic, stands = x[full], toxic[full], stands[full]
-    padded = np.concatenate([x, np.zeros((-len(x) % BLOCK, x.shape[1]))])
-    index = Index(vocabulary, idf, x, padded.reshape(-1, BLOCK, x.shape[1]).max(1) if len(x) else padded, toxic, stands, k, empty, 1.0, 0.0)
-    if len(x) < 2:
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(lo, hi - lo), pa.array(pack, pa.binary())], names=["toxic", "x"])
+
+    got = [(r.x, r.toxic) for r in some.select("text", "toxic").mapInArrow(trimmed(sparse), "toxic int, x binary").collect()]  # at most 2 * examples rows
+    packs = [(*np.frombuffer(x, np.int32).reshape(2, -1), v) for x, v in got]
+    # Examples that share their most telling word stand together, so bounds are tight.
+    lead = [int(t[np.argmax(_unit(t, n, weight))]) if len(t) else -1 for t, n, _ in packs]
+    packs = [packs[i] for i in sorted(range(len(packs)), key=lambda i: (lead[i], got[i]))]
+    toxic = np.array([v for *_, v in packs], float)
+    index = build([(t, n) for t, n, _ in packs], toxic, np.array([sizes[v] / rows[v] for *_, v in packs]), vocabulary, weight, k)
+    if len(index.toxic) < 2:
         return index
-    own = np.array([_vote(index, x[i], i)[0] for i in range(len(x))])
-    slope, shift = _calibrated(own, toxic, stands)
-    return Index(**{**index.__dict__, "slope": slope, "shift": shift})
+    full = [(t, n) for t, n, _ in packs if len(t)]
+    votes = _own_votes(docs, index, full)
+    slope, shift = _calibrated(votes, index.toxic, index.stands_for)
+    return replace(index, slope=slope, shift=shift)
+
+
+def _own_votes(docs: DataFrame, index: Index, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The vote on each example by the others; found: their terms and counts."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((index, found))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, examples = shared.value
+        for b in batches:
+            ids = b.column("id").to_numpy()
+            own = [_vote(known, examples[i][0], _unit(*examples[i], known.weight), i)[0] for i in ids]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(own, pa.float64())], names=["id", "vote"])
+
+    got = spark.range(len(found)).mapInArrow(trimmed(run), "id long, vote double").toArrow()
+    out = np.empty(len(found))
+    out[got.column("id").to_numpy()] = got.column("vote").to_numpy()
+    return out
 
 
 def score(docs: DataFrame, index: Index, keep: list[str] | None = None) -> DataFrame:
     """The columns named in keep (all of docs), then toxicity, vote and evidence (numbers of the nearest examples)."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("toxicity", "vote", "evidence")]
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         known: dict[bytes, tuple[float, float, list]] = {}
         for batch in batches:
             data, offsets = strings(batch.column("text"))
@@ -196,12 +276,11 @@ def score(docs: DataFrame, index: Index, keep: list[str] | None = None) -> DataF
                 row, term, n = _hits(part, at, index.terms)
                 for i in np.unique(row):
                     a, b = np.searchsorted(row, (i, i + 1))
-                    key = term[a:b].tobytes() + n[a:b].tobytes()
+                    key = hashlib.blake2b(term[a:b].tobytes() + n[a:b].tobytes(), digest_size=16).digest()
                     if key not in known:
-                        if len(known) > 50_000:
+                        if len(known) > 20_000:
                             known.clear()
-                        q = _unit(np.zeros(b - a, int), term[a:b], n[a:b], index.idf, 1)[0]
-                        vote, ids = _vote(index, q)
+                        vote, ids = _vote(index, term[a:b], _unit(term[a:b], n[a:b], index.weight))
                         chance = 1 / (1 + np.exp(-(index.slope * np.log((vote + 0.02) / (1.02 - vote)) + index.shift)))
                         known[key] = (float(chance), vote, ids.tolist())
                     out[lo + i] = known[key]
@@ -209,4 +288,4 @@ def score(docs: DataFrame, index: Index, keep: list[str] | None = None) -> DataF
             yield with_columns(batch, keep, {"toxicity": pa.array(made[0], pa.float64()), "vote": pa.array(made[1], pa.float64()), "evidence": pa.array(made[2], pa.list_(pa.int32()))})
 
     fields = [docs.schema[c] for c in keep] + [T.StructField("toxicity", T.DoubleType()), T.StructField("vote", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.IntegerType()))]
-    return docs.mapInArrow(run, T.StructType(fields))
+    return docs.mapInArrow(trimmed(run), T.StructType(fields))

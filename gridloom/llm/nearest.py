@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample of vectors; every vector is then indexed under its leaf. A query
+The tree is fitted on a sample: a quarter of the vectors, ``least`` of them at least and ``most`` at most, so it has
+more leaves as the table grows; every vector is then indexed under its leaf. A query
 goes through the tree best bin first: a priority queue holds branches by their distance, and leaves are
 visited in the order in which they leave the queue. How many leaves are visited is calibrated: it is
-widened on sampled queries until the recall against brute force over the sample reaches the target.
+widened on sampled queries until the recall against brute force over the sample reaches the target, and for
+each query until the visited leaves hold k neighbours, or all there are.
 
 Leaves are cut into parts of at most ``part`` vectors, so a leaf that holds a third of all vectors is searched
-by many tasks. Each part returns a query's k best, and those meet in one aggregation.
+by many tasks. A part compares all its queries with all its vectors in blocks: products bound the distances, and
+those within rounding of the k-th are computed again, exactly. It returns each query's k best, and those meet in one aggregation.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part;
 ids that are null take no part; ties go to the smaller id; repeated ids are separate rows, but a query never finds its own id.
@@ -25,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.llm.shared import trimmed
+
 
 @dataclass(frozen=True)
 class Tree:
@@ -36,13 +41,14 @@ class Tree:
     leaves: int
     visit: int
 
-    def order(self, q: np.ndarray, most: int) -> list[int]:
-        """The first leaves that a best-bin-first search visits."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def order(self, q: np.ndarray, most: int, held: np.ndarray | None = None, wanted: int = 0) -> list[int]:
+        """The first leaves that a best-bin-first search visits: ``most``, and on until they hold ``wanted`` vectors (held: those of each leaf)."""
+        queue, out, seen = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or seen < wanted):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(self.leaf[node])
+                seen += int(held[out[-1]]) if held is not None else 0
                 continue
             kids = self.children[node]
             d = ((self.centres[kids] - q) ** 2).sum(1)
@@ -84,8 +90,8 @@ def grow(x: np.ndarray, branch: int, size: int) -> Tree:
         node, own = todo.pop()
         parts = []
         if len(own) > size:
-            c, near = _kmeans(own, branch, rng)
-            parts = [(c[i], own[near == i]) for i in range(branch) if (near == i).any()]
+            c, near = _kmeans(own, min(branch, len(own)), rng)
+            parts = [(c[i], own[near == i]) for i in range(len(c)) if (near == i).any()]
         if len(parts) < 2:
             leaf[node], leaves = leaves, leaves + 1
             continue
@@ -131,7 +137,24 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", column: str = "embedding", sample: int = 12000, branch: int = 12, leaf_size: int = 60, target: float = 0.965, part: int = 2048) -> DataFrame:
+def closest(y: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query numbers, rows of y and distances of each query's k nearest (ties: smaller id) but those of its own id, in blocks of queries."""
+    size = (y * y).sum(1)
+    for a in range(0, len(queries), step := max(1, 2_000_000 // max(len(y), 1))):
+        v = queries[a : a + step]
+        d = size[None] - 2 * (v @ y.T) + (v * v).sum(1)[:, None]
+        d[own[a : a + step, None] == ids[None]] = np.inf
+        last = np.partition(d, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+        slack = 1e-9 * (size.max() + (v * v).sum(1))
+        q, row = np.nonzero((d <= (last + slack)[:, None]) & np.isfinite(d))
+        exact = np.sqrt(((y[row] - v[q]) ** 2).sum(1))
+        order = np.lexsort((ids[row], exact, q))
+        q, row, exact = q[order], row[order], exact[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        yield q[rank < k] + a, row[rank < k], exact[rank < k]
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", column: str = "embedding", least: int = 12_000, most: int = 100_000, branch: int = 12, leaf_size: int = 60, target: float = 0.965, part: int = 2048) -> DataFrame:
     """query_id, rank, the neighbour's id and Euclidean distance, for the rows that is_query (over ``id``) picks."""
     rows = usable(vectors, id_column, column)
     spark = rows.sparkSession
@@ -139,8 +162,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
     out = T.StructType([T.StructField("query_id", rows.schema["id"].dataType), T.StructField("rank", T.IntegerType()), T.StructField(id_column, rows.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     if not n:
         return spark.createDataFrame([], out)
-    hashed = (F.xxhash64(F.col("id").cast("string"), F.lit("tree")) % 1_000_000 + 1_000_000) % 1_000_000
-    some = rows.filter(hashed < int(1_000_000 * min(1.0, sample / n)) + 1).limit(2 * sample).toArrow()
+    sample = min(most, max(least, n // 4))
+    hashed = F.pmod(F.xxhash64(F.col("id").cast("string"), "x", F.lit("tree")), F.lit(1_000_000))
+    some = rows.filter(hashed < int(1_000_000 * min(1.0, sample / n)) + 1).dropDuplicates(["id", "x"]).toArrow()  # about ``sample`` rows
     x = matrix(some.column("x"))
     x = x[np.lexsort(x.T[::-1])] if some.num_rows else np.array([r.x for r in rows.limit(1).collect()])
     other = np.arange(len(x)) % 3 == 0 if len(x) > 3 * leaf_size else np.ones(len(x), bool)
@@ -151,33 +175,32 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(tree.of(matrix(b.column("x"))), pa.int32())], names=["id", "x", "leaf"])
 
+    kind = T.StructType([rows.schema["id"], rows.schema["x"], T.StructField("leaf", T.IntegerType())])
+    members = rows.mapInArrow(trimmed(leaves), kind)
+    held = np.zeros(tree.leaves, np.int64)
+    for r in members.groupBy("leaf").agg(F.count("*").alias("n")).collect():  # a row a leaf of the bounded tree
+        held[r.leaf] = r.n
+    copies = rows.filter(is_query).groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).collect()[0][0] or 0
+
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 y = matrix(b.column("x"))
-                each = [tree.order(q, tree.visit) for q in y]
+                each = [tree.order(q, tree.visit, held, k + copies) for q in y]
                 at = np.repeat(np.arange(len(y)), [len(e) for e in each])
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), b.column("x").take(pa.array(at)), pa.array(np.concatenate(each), pa.int32())], names=["id", "x", "leaf"])
 
-    kind = T.StructType([rows.schema["id"], rows.schema["x"], T.StructField("leaf", T.IntegerType())])
-    members = rows.mapInArrow(leaves, kind)
-    parts = {r.leaf: -(-r.n // part) for r in members.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row a leaf of the bounded tree
-    split = F.create_map(*(F.lit(v) for leaf in range(tree.leaves) for v in (leaf, parts.get(leaf, 0))))
+    parts = -(-held // part)
+    split = F.create_map(*(F.lit(v) for leaf in range(tree.leaves) for v in (leaf, int(parts[leaf]))))
     members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.greatest(split[F.col("leaf")], F.lit(1))).cast("int"))
-    asked = rows.filter(is_query).mapInArrow(visits, kind).withColumn("part", F.explode(F.when(split[F.col("leaf")] > 0, F.sequence(F.lit(0), split[F.col("leaf")] - 1)).otherwise(F.expr("array()")).cast("array<int>")))
+    asked = rows.filter(is_query).dropDuplicates(["id", "x"]).mapInArrow(trimmed(visits), kind).withColumn("part", F.explode(F.when(split[F.col("leaf")] > 0, F.sequence(F.lit(0), split[F.col("leaf")] - 1)).otherwise(F.expr("array()")).cast("array<int>")))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         y, ids = np.stack(right["x"].to_numpy()), right["id"].to_numpy()
-        found = []
-        for q, v in zip(left["id"].to_numpy(), left["x"], strict=True):
-            d = np.sqrt(((y - v) ** 2).sum(1))
-            d[ids == q] = np.inf
-            some = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-            some = some[np.lexsort((ids[some], d[some]))][:k]
-            some = some[np.isfinite(d[some])]
-            found.append(pd.DataFrame({"query_id": q, "id": ids[some], "score": d[some]}))
+        asks = left["id"].to_numpy()
+        found = [pd.DataFrame({"query_id": asks[q], "id": ids[row], "score": d}) for q, row, d in closest(y, ids, np.stack(left["x"].to_numpy()), asks, k)]
         return pd.concat(found)
 
     scheme = T.StructType([T.StructField("query_id", rows.schema["id"].dataType), rows.schema["id"], T.StructField("score", T.DoubleType())])

@@ -4,14 +4,15 @@ import hashlib
 import random
 import re
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm import chat, decontaminate, language_id, nearest, ngram_join, packing, quality, queries, repeats, secret_scan, toxicity
-from gridloom.llm.shared import strings
+from gridloom.llm import chat, decontaminate, language_id, native, nearest, ngram_join, packing, quality, queries, repeats, secret_scan, toxicity
+from gridloom.llm.shared import shared_dir, strings
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, h long, c long, n int, pos int, secrets string"
 
@@ -83,12 +84,28 @@ def test_secrets_by_hand(spark, none):
     assert sorted((r.text or "", r.s) for r in got) == sorted((t or "", by_hand(t)) for _, t in rows)
     assert secret_scan.find_secrets(none).count() == 0
     clean = secret_scan.redact(docs_of(spark, rows))
-    assert clean.columns == docs_of(spark, rows).columns
+    assert clean.schema == docs_of(spark, rows).schema and {r.secrets for r in clean.collect()} == {"x"}
     texts = [r.text for r in clean.collect()]
     assert None in texts and "[SECRET] " * 300 in texts
     assert all(by_hand(t) == "" for t in texts)
 
 
+def test_secrets_of_long_texts(spark):
+    """Tens of thousands of matches in one text: places and redaction stay linear."""
+    text = "é token=abcdef, " * 30_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = secret_scan.find_secrets(docs, into="found").select(F.size("found").alias("n"), F.element_at("found", -1).alias("last")).collect()[0]
+    assert (found.n, found.last.start, found.last.end) == (30_000, 16 * 29_999 + 2, 16 * 29_999 + 14)
+    assert secret_scan.redact(docs).collect()[0].text == "é [SECRET], " * 30_000
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 64, 65])
+def test_running_sums(spark, n):
+    values = np.random.default_rng(n).integers(-9, 9, n).tolist()
+    got = spark.createDataFrame([(values,)], "v array<int>").select(native.sums(F.col("v")).alias("s"), native.maxima(F.col("v")).alias("m")).collect()[0]
+    assert got.s == np.cumsum(values).tolist() and got.m == np.maximum.accumulate(np.array(values, int)).tolist()
+
+
 # N-gram join
 
 
@@ -127,6 +144,21 @@ def test_ngram_join_edges(edges, none):
     assert ngram_join.keep_one(edges).columns == edges.columns
 
 
+def test_ngram_join_by_row(spark):
+    """Links through rows without an id count; of each component one row stays, whatever ids it shares."""
+    w = prose(40, 60).split()
+    far = [*w[:20], "x1", "x2", *w[22:]]
+    texts = {"a": " ".join(w), "bridge": " ".join([*w[:40], "y1", *w[41:]]), "b": " ".join([*far[:40], "y1", *far[41:]]), "c": prose(41, 50), "d": prose(42, 50)}
+    rows = [(1, texts["a"]), (None, texts["bridge"]), (3, texts["b"])]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.cluster(docs_of(spark, rows)).collect()), key=str)
+    assert got == brute_clusters(rows) and {c for *_, c in got} == {1}
+    rows += [(5, texts["a"]), (5, texts["c"]), (7, texts["d"]), (7, texts["d"]), (None, None), (None, ""), (None, "lonely"), (None, "lonely")]
+    left = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(docs_of(spark, rows)).collect()), key=str)
+    assert left == sorted([(1, texts["a"]), (5, texts["c"]), (7, texts["d"]), (None, None), (None, ""), (None, "lonely")], key=str)
+    clash = docs_of(spark, rows).withColumn("row_key", F.lit(1)).withColumn("row", F.lit(2))
+    assert ngram_join.keep_one(clash).columns == clash.columns and ngram_join.keep_one(clash).count() == 6
+
+
 def test_ngram_join_chains_and_groups(spark):
     """Chains whose ends aren't similar, a group of near copies, and one passage that many texts share."""
     rows, passage = [], prose(77, 30)
@@ -193,6 +225,16 @@ def test_chat_parts_and_round_trip(spark):
     assert chat.format_chats(spark.createDataFrame([], part)).count() == 0
 
 
+def test_chat_ties_and_long_conversations(spark):
+    kind = "conv_id long, turn long, role string, text string"
+    turns = [(1, 0, "user", "<b"), (1, 0, "user", "(a"), (1, 0, "user", "<b")] + [(2, i, "assistant", f"[{i}] " * 20) for i in range(3000)]
+    docs = spark.createDataFrame(turns, kind).select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))
+    made = chat.format_chats(docs).select("conv_id", chat.read_back(F.col("formatted")).alias("turns"), chat.under_mask(F.col("formatted"), F.col("mask")).alias("loss"))
+    got = {r.conv_id: r for r in made.collect()}
+    assert [t.text for t in got[1].turns] == ["(a", "<b", "<b"]
+    assert got[2].loss == "".join(f"[{i}] " * 20 for i in range(3000)) and len(got[2].turns) == 3000
+
+
 # Language
 
 
@@ -231,7 +273,6 @@ def test_packing_query(spark, sf_dir, documents):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     got = queries.queries()["op5_packing"](spark, sf_dir).toPandas()
     by = dict(tuple(got.sort_values("piece").groupby("doc_id")))
     for d, t in documents.itertuples(index=False, name=None):
@@ -249,13 +290,30 @@ def test_fast_encoder_is_exact():
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
-    encode = packing.encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    files = (P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    encode = packing.encoder(*files)
     r = random.Random(0)
     common = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xC0, 0x250)]]
     texts = ["".join(r.choice(common) for _ in range(200)) for _ in range(200)] + [t or "" for _, t in edge_rows()] + ["  a\n\n b\t c  ", "don't we'll", "１２ ½ ² x y"]
     for t in texts:
         assert encode(t).tolist() == exact.encode(t, add_special_tokens=False).ids
+    special = "a <|endoftext|> b"
+    assert 50256 in encode(special) and encode(special).tolist() == exact.encode(special, add_special_tokens=False).ids
+    exact.encode_special_tokens = True
+    assert packing.encoder(*files, special=False)(special).tolist() == exact.encode(special, add_special_tokens=False).ids
+
+
+def test_fullest_combinations():
+    """The subset-sum bitset against all combinations."""
+    r = random.Random(8)
+    for _ in range(200):
+        left = {n: r.randint(0, 3) for n in r.sample(range(1, 40), r.randint(0, 6))}
+        room = r.randint(0, 60)
+        sums = {0}
+        for n, copies in left.items():
+            sums = {s + n * k for s in sums for k in range(copies + 1) if s + n * k <= room}
+        got = packing._fullest(left, room)
+        assert sum(n * k for n, k in got) == max(sums) and all(0 < k <= left[n] for n, k in got)
 
 
 def test_packing_edges_and_plan(spark, edges, none):
@@ -322,6 +380,23 @@ def test_repeats_empty_and_kernels(none):
         assert repeats.sliding_min(x, w).tolist() == [x[i : i + w].min() for i in range(len(x) - w + 1)]
 
 
+def test_previous_factors():
+    """Suffix order, common prefixes and longest previous factors against brute force."""
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        span = int(rng.integers(1, 20))
+        text = rng.integers(97, 99, rng.integers(span, 150)).astype(np.uint8)
+        at = np.arange(len(text) - span + 1)
+        strings_at = [text.tobytes()[i : i + span] for i in at]
+        common = lambda x, y: next((k for k in range(span) if x[k] != y[k]), span)  # noqa: E731, B023
+        order, lcp = repeats.suffix_order(text, at, span)
+        assert order.tolist() == sorted(at.tolist(), key=lambda i: (strings_at[i], i))  # noqa: B023
+        assert lcp.tolist() == [0] + [common(strings_at[a], strings_at[b]) for a, b in zip(order[1:], order[:-1], strict=True)]
+        got = np.empty(len(at), int)
+        got[order] = repeats.previous_factors(at[order], lcp, span)
+        assert got.tolist() == [max((common(strings_at[i], strings_at[j]) for j in range(i)), default=0) for i in at]
+
+
 # Toxicity and quality
 
 
@@ -345,18 +420,58 @@ def toxic_rows():
 
 
 def test_toxicity_neighbours_are_exact(spark):
+    """The block-max index against cosines of whole vectors, over all words."""
     rows, labels = toxic_rows()
     index = toxicity.fit(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    n, v = len(index.toxic), len(index.terms)
+    assert n == 300 and v == len({w for _, t in rows for w in t.split()})
+    dense = np.zeros((n, v))
+    for t in range(v):
+        for e in range(index.entry[t], index.entry[t + 1]):
+            own = slice(index.begin[e], index.begin[e + 1])
+            dense[index.example[own], t] = index.value[own]
+            assert index.largest[e] == index.value[own].max() and set(index.example[own] // toxicity.BLOCK) == {index.block[e]}
+    assert (dense**2).sum(1) == pytest.approx(np.ones(n), abs=1e-5)
     rng = np.random.default_rng(1)
-    for _ in range(50):
-        q = np.where(rng.random(len(index.terms)) < 0.4, rng.random(len(index.terms)), 0)
-        ids, cosine = toxicity._nearest(index, q)
-        every = index.vectors @ q
-        want = np.lexsort((np.arange(len(every)), -every.round(12)))[: index.k]
-        assert cosine == pytest.approx(np.sort(every[want][every[want] > 1e-12])[::-1])
-        assert len(set(ids)) == len(ids)
+    for turn in range(80):
+        term = np.flatnonzero(rng.random(v) < (0.02 if turn % 2 else 0.3))
+        q = rng.random(len(term)) ** 4 + 1e-3
+        skip = turn % 3 - 1
+        ids, cosine = toxicity.nearest(index, term, q, skip)
+        every = dense[:, term] @ q
+        if skip >= 0:
+            every[skip] = 0
+        want = np.sort(every[every > 1e-9])[::-1][: index.k]
+        assert cosine == pytest.approx(want, abs=1e-6) and len(set(ids)) == len(ids) and skip not in ids
+        assert every[ids] == pytest.approx(cosine, abs=1e-6)
     got = {r.doc_id: r.toxicity for r in toxicity.score(docs_of(spark, [*rows, (900, "you vile thing"), (901, None)]), index).collect()}
-    assert got[900] > 0.7 and got[901] < 0.3 and all((got[i] > 0.5) == bool(t) for i, t in labels)
+    assert got[900] > 0.7 and got[901] < 0.5 and all((got[i] > 0.5) == bool(t) for i, t in labels)
+
+
+def test_labels_and_ids_twice(spark):
+    """An id labelled both ways is toxic; of two texts with one id the least is learnt; clashing columns are replaced."""
+    docs = docs_of(spark, [(1, "vile words here"), (1, "a rotten thing"), (2, "all is well today"), (3, "well and good today")]).withColumn("toxicity", F.lit("mine")).withColumn("quality_score", F.lit("mine")).withColumn("lang_pred", F.lit("mine"))
+    index = toxicity.fit(docs, spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 0)], "doc_id long, toxic int"))
+    assert index.toxic.sum() == 1 and len(index.toxic) == 3 and len(index.terms) == 3 + 4 + 2
+    assert dict(toxicity.score(docs, index).dtypes)["toxicity"] == "double"
+    assert dict(quality.score(docs, quality.fit(docs, docs.select("doc_id"))).dtypes)["quality_score"] == "double"
+    assert {r.lang_pred for r in language_id.detect(docs, language_id.fit(docs, F.lit(True))).collect()} == {"en"}
+
+
+def test_quality_parts():
+    """Cuts are quantiles to within a cell; the prior of a mixture whose parts the score tells apart is found."""
+    rng = np.random.default_rng(2)
+    x = rng.gamma(2, 3, 20_000).astype(np.float32)
+    cell, n = np.unique(quality._cells(x), return_counts=True)
+    assert quality.cuts_of(cell, n) == pytest.approx(np.quantile(x, np.arange(1, 10) / 10), rel=0.02)
+    mostly = np.where(rng.random(20_000) < 0.95, 0, x).astype(np.float32)
+    cell, n = np.unique(quality._cells(mostly), return_counts=True)
+    cuts = quality.cuts_of(cell, n)
+    assert cuts[0] < 1e-30 and len(np.unique(cuts)) == 9 and (np.diff(cuts) >= 0).all()
+    t = np.linspace(-1, 1, 40)
+    above = lambda s: (s[None] >= t[:, None]).mean(1)
+    good, bad = rng.normal(1.5, 1, 50_000), rng.normal(-3, 1, 50_000)
+    assert quality.class_prior(above(good), 0.7 * above(good) + 0.3 * above(bad)) == pytest.approx(0.7, abs=0.01)
 
 
 def test_scores_on_edges(spark, edges, none):
@@ -389,6 +504,26 @@ def test_reparameterised_questions(spark, none):
     assert decontaminate.contaminated(none, items).count() == 0 and decontaminate.contaminated(docs_of(spark, rows), items.limit(0)).count() == 0
 
 
+def test_what_stands_before_makes_no_difference(spark, monkeypatch):
+    story = "Maria bought 12 apples at the market. Maria then sold 5 apples to a friend. Maria has how many apples left?"
+    items = spark.createDataFrame([(1, "What is the capital of France?"), (2, story), (3, ITEM)], "item_id long, text string")
+    half = "Maria bought 12 apples at the market. Maria then sold 5 apples to a friend. Maria lost 9 apples to many others."
+    rows = [(1, 'He asked "What is the capital of France?"'), (2, "so\nwhat is\nthe capital of france"), (3, story.replace("Maria", "Bertha").replace("12", "77")), (4, f"(“{story}”)"), (5, half), (None, ITEM), (None, "clean text without an id"), (7, ITEM), (7, "clean text of a shared id"), (8, "WHAT IS THE CAPITAL OF FRANCE")]
+    docs = docs_of(spark, rows)
+    want = {(1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (None, 3), (7, 3), (8, 1)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == want
+    assert {(r.doc_id, r.text) for r in decontaminate.clean(docs, items).collect()} == {(None, rows[6][1]), (7, rows[8][1])}
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == want
+
+
+def test_large_benchmarks_give_the_same(spark, sf_dir, monkeypatch):
+    find = lambda: sorted(map(tuple, queries.queries()["op9_decontamination"](spark, sf_dir).collect()))
+    want = find()
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    assert find() == want and want
+
+
 # Neighbours
 
 
@@ -417,9 +552,70 @@ def test_neighbours_edges(spark):
     assert [r.vec_id for r in got] == list(range(1, 11)) and {r.score for r in got} == {0.0}
 
 
+def test_closest_is_exact():
+    rng = np.random.default_rng(3)
+    y = rng.integers(-2, 3, (300, 4)).astype(float)
+    ids, own = rng.permutation(300), rng.integers(0, 300, 40)
+    v = y[[int(np.flatnonzero(ids == i)[0]) for i in own]]
+    got = [np.concatenate(x) for x in zip(*nearest.closest(y, ids, v, own, 10), strict=True)]
+    for q in range(40):
+        d = np.sqrt(((y - v[q]) ** 2).sum(1))
+        d[ids == own[q]] = np.inf
+        want = np.lexsort((ids, d))[:10]
+        assert got[1][got[0] == q].tolist() == want.tolist() and got[2][got[0] == q].tolist() == d[want].tolist()
+
+
+def test_neighbours_are_as_many_as_there_are(spark, monkeypatch):
+    """Visits are widened until k neighbours are found, repeated ids and small leaves notwithstanding."""
+    plain = nearest.calibrate
+    monkeypatch.setattr(nearest, "calibrate", lambda *a: replace(plain(*a), visit=1))
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(400)] + [(0, rng.normal(size=4).tolist()) for _ in range(12)]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 100 == 0, leaf_size=4, least=200).toPandas()
+    assert got.groupby("query_id").size().tolist() == [10] * 4 and (got.query_id != got.vec_id).all()
+
+
+@pytest.mark.parametrize("n", [4000, 16_000])
+def test_neighbours_recall_at_two_sizes(spark, n):
+    """The tree is grown from a quarter of the vectors; recall against brute force holds, and leaves grow in number."""
+    rng = np.random.default_rng(n)
+    x = (rng.normal(size=(60, 16))[rng.integers(0, 60, n)] + 0.5 * rng.normal(size=(n, 16))).astype(np.float32).astype(float)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = nearest.search(table, F.col("id") % 100 == 0, least=1000).toPandas()
+    hits = []
+    for q in range(0, n, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits.append(len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id)) / 10)
+    assert np.mean(hits) >= 0.9
+
+
 # Pipeline
 
 
+def test_stages_on_edges(spark, sf_dir, edges, none):
+    """Every stage on nulls, repeated ids, long texts, clashing columns and an empty table."""
+    import corpus_pipeline as P
+
+    for name, stage in P.STAGES:
+        got, empty = stage(spark, edges, sf_dir), stage(spark, none, sf_dir)
+        assert empty.count() == 0 and empty.columns == got.columns
+        if name != "best-fit packing":
+            assert got.schema.names == edges.schema.names and {r.secrets for r in got.collect()} <= {"x"}
+    kept = sorted(((r.doc_id, r.text) for r in P.near_copies(spark, edges, sf_dir).collect()), key=str)
+    assert sum(t == edge_rows()[0][1] for _, t in kept) == 1 and (None, None) in kept
+    assert P.sequences(spark, edges, sf_dir).select("doc_id").distinct().count() == len({d for d, _ in edge_rows()})
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    class Session:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 def test_pipeline(spark, sf_dir, documents):
     import corpus_pipeline as P
 

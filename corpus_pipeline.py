@@ -53,4 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
             docs = scratch.keep(docs, f"stage-{number}")
+            scratch.drop(*[f"stage-{number - 1}"] * (number > 0))
     return docs

@@ -6,9 +6,10 @@ square of the evidence. A word's evidence is its number of different neighbourho
 of one text don't count again and again.
 
 The examples stand in a block-max inverted index: each word's postings are cut into blocks of BLOCK examples,
-and for each block the word's largest weight is kept. A query sums these into a bound for each block, looks into the blocks
-of the highest bounds, and then into all whose bound reaches its k-th neighbour so far, so the neighbours by cosine are
-exact. Words that no example holds scale all cosines of a text alike and are left out of its length. Votes are
+and for each block the word's largest weight is kept. The postings of words that many examples hold are laid out densely,
+and a batch of queries goes through them in one product; a block's bound is the largest of these sums in it plus the largest weights of
+the query's other words. A query looks into the blocks of the highest bounds, and then into all whose bound reaches its
+k-th neighbour so far; cosines near the k-th are summed again in double precision, so the neighbours are exact. Words that no example holds scale all cosines of a text alike and are left out of its length. Votes are
 weighted by cosine and by how many labelled rows an example stands for, then calibrated on the examples'
 own leave-one-out votes.
 
@@ -38,6 +39,10 @@ from gridloom.llm.shared import chunks, mix, of_rows, strings, trimmed, with_col
 BLOCK = 64
 #: Blocks that a query looks into before it compares bounds with its k-th neighbour.
 FIRST = 8
+#: Words in more than one of so many examples, DENSE of them at most, have dense postings; queries that go through them at once.
+SHARE, DENSE, BATCH = 16, 512, 64
+#: Beyond what single precision can be wrong by.
+SLACK = 1e-5
 #: Evidence, in standard deviations, from which a word's relevance grows.
 EVIDENT = 4.0
 
@@ -48,6 +53,7 @@ class Index:
 
     terms: sorted word hashes; weight: idf * relevance of each. Entries of a term in blocks: entry[t] to entry[t + 1], with the
     block, its largest weight, and where its postings begin (they end where the next ones begin). Postings: example and weight, of unit length.
+    column: where a term with dense postings stands in dense (examples by such terms), or -1; it has no entries.
     """
 
     terms: np.ndarray
@@ -58,6 +64,8 @@ class Index:
     begin: np.ndarray
     example: np.ndarray
     value: np.ndarray
+    column: np.ndarray
+    dense: np.ndarray
     toxic: np.ndarray
     stands_for: np.ndarray
     k: int
@@ -119,39 +127,59 @@ def _hits(part: np.ndarray, at: np.ndarray, terms: np.ndarray) -> tuple[np.ndarr
     return both // len(terms), both % len(terms), n
 
 
-def nearest(index: Index, term: np.ndarray, q: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest examples, by cosine, of a query with weights q of unit length at some terms; exact, by block bounds."""
-    none = np.zeros(0, int), np.zeros(0)
+def nearest(index: Index, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The k nearest examples, by cosine, of each query (terms and their weights, of unit length); skip: an example for each that doesn't count."""
+    for a in range(0, len(queries), BATCH):
+        group = queries[a : a + BATCH]
+        common = np.zeros((len(group), index.dense.shape[1]))
+        rare = []
+        for i, (term, q) in enumerate(group):
+            column = index.column[term]
+            common[i, column[column >= 0]] = q[column >= 0]
+            rare.append((term[column < 0], q[column < 0]))
+        base = common.astype(np.float32) @ index.dense.T
+        for i, (term, q) in enumerate(rare):
+            yield _nearest(index, base[i], common[i], term, q, skip[a + i] if skip else -1)
+
+
+def _nearest(index: Index, base: np.ndarray, common: np.ndarray, term: np.ndarray, q: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+    """base: cosines as far as words with dense postings make them; term, q: the others."""
     n, blocks = len(index.toxic), -(-len(index.toxic) // BLOCK)
-    if not n or not len(term):
-        return none
+    if not n:
+        return np.zeros(0, int), np.zeros(0)
+    if skip >= 0:
+        base[skip] = -2
     entry, of = _ranges(index.entry[term], index.entry[term + 1])
-    bound = np.bincount(index.block[entry], q[of] * index.largest[entry], minlength=blocks)
-    score = np.zeros(n)
+    block, weight = index.block[entry], q[of]
+    bound = np.maximum.reduceat(base, np.arange(0, n, BLOCK)) + np.bincount(block, weight * index.largest[entry], minlength=blocks)
+    score = base.astype(float)
 
     def look_into(some: np.ndarray) -> None:
-        chosen = some[index.block[entry]]
+        chosen = np.flatnonzero(some[block])
         posting, which = _ranges(index.begin[entry[chosen]], index.begin[entry[chosen] + 1])
-        score[:] += np.bincount(index.example[posting], q[of[chosen]][which] * index.value[posting], minlength=n)
+        score[:] += np.bincount(index.example[posting], weight[chosen][which] * index.value[posting], minlength=n)
 
-    k = min(index.k + (skip >= 0), n)
     first = np.zeros(blocks, bool)
     first[np.argsort(-bound, kind="stable")[:FIRST]] = True
     look_into(first)
-    rest = ~first & (bound > 0) & (bound >= np.partition(score, n - k)[n - k] - 1e-6)
+    own = score[np.repeat(first, BLOCK)[:n]]
+    least = max(np.partition(own, len(own) - index.k)[len(own) - index.k] if len(own) >= index.k else 0, 0) - SLACK
+    rest = ~first & (bound >= least)
     if rest.any():
         look_into(rest)
-    if skip >= 0:
-        score[skip] = 0
-    some = np.flatnonzero((score >= np.partition(score, n - k)[n - k]) & (score > 1e-9))
-    some = some[np.lexsort((some, -score[some]))][: index.k]
-    return some, score[some]
+    some = np.flatnonzero(score >= least)
+    if len(some) > 4 * index.k:
+        some = some[score[some] >= np.partition(score[some], len(some) - index.k)[len(some) - index.k] - SLACK]
+    exact = score[some] - base[some] + index.dense[some].astype(float) @ common
+    order = np.lexsort((some, -exact))[: index.k]
+    order = order[(exact[order] > 1e-9) & (some[order] != skip)]
+    return some[order], exact[order]
 
 
-def _vote(index: Index, term: np.ndarray, q: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray]:
-    ids, cosine = nearest(index, term, q, skip)
-    weight = cosine**4 * index.stands_for[ids]
-    return (float((weight * index.toxic[ids]).sum() / weight.sum()) if weight.sum() > 0 else index.empty), ids
+def _votes(index: Index, queries: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> Iterator[tuple[float, np.ndarray]]:
+    for ids, cosine in nearest(index, queries, skip):
+        weight = cosine**4 * index.stands_for[ids]
+        yield (float((weight * index.toxic[ids]).sum() / weight.sum()) if weight.sum() > 0 else index.empty), ids
 
 
 def _unit(term: np.ndarray, n: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -181,7 +209,15 @@ def build(found: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, stands:
     row = np.repeat(np.arange(len(found)), [len(t) for t, _ in found])
     term = np.concatenate([t for t, _ in found]) if found else np.zeros(0, int)
     value = np.concatenate([_unit(t, n, weight) for t, n in found]).astype(np.float32) if found else np.zeros(0, np.float32)
-    return Index(terms, weight, *inverted(row, term, value, len(terms)), toxic[full] if len(full) else toxic, stands[full] if len(full) else stands, k, empty)
+    held = np.bincount(term, minlength=len(terms))
+    often = np.flatnonzero(held > len(found) / SHARE)
+    often = often[np.argsort(-held[often], kind="stable")[:DENSE]]
+    column = np.full(len(terms), -1, np.int32)
+    column[often] = np.arange(len(often))
+    dense = np.zeros((len(found), len(often)), np.float32)
+    there = column[term] >= 0
+    dense[row[there], column[term[there]]] = value[there]
+    return Index(terms, weight, *inverted(row[~there], term[~there], value[~there], len(terms)), column, dense, toxic[full] if len(full) else toxic, stands[full] if len(full) else stands, k, empty)
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, k: int = 15) -> Index:
@@ -252,7 +288,7 @@ def _own_votes(docs: DataFrame, index: Index, found: list[tuple[np.ndarray, np.n
         known, examples = shared.value
         for b in batches:
             ids = b.column("id").to_numpy()
-            own = [_vote(known, examples[i][0], _unit(*examples[i], known.weight), i)[0] for i in ids]
+            own = [vote for vote, _ in _votes(known, [(examples[i][0], _unit(*examples[i], known.weight)) for i in ids], ids.tolist())]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(own, pa.float64())], names=["id", "vote"])
 
     got = spark.range(len(found)).mapInArrow(trimmed(run), "id long, vote double").toArrow()
@@ -274,15 +310,19 @@ def score(docs: DataFrame, index: Index, keep: list[str] | None = None) -> DataF
             out = [(index.empty, index.empty, [])] * batch.num_rows
             for lo, _, part, at in chunks(data, offsets, rows=2048):
                 row, term, n = _hits(part, at, index.terms)
-                for i in np.unique(row):
-                    a, b = np.searchsorted(row, (i, i + 1))
-                    key = hashlib.blake2b(term[a:b].tobytes() + n[a:b].tobytes(), digest_size=16).digest()
-                    if key not in known:
-                        if len(known) > 20_000:
-                            known.clear()
-                        vote, ids = _vote(index, term[a:b], _unit(term[a:b], n[a:b], index.weight))
-                        chance = 1 / (1 + np.exp(-(index.slope * np.log((vote + 0.02) / (1.02 - vote)) + index.shift)))
-                        known[key] = (float(chance), vote, ids.tolist())
+                if len(known) > 20_000:
+                    known.clear()
+                rows = np.unique(row)
+                starts = np.searchsorted(row, rows)
+                keys, fresh = [], {}
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(row)], strict=True):
+                    keys.append(hashlib.blake2b(term[a:b].tobytes() + n[a:b].tobytes(), digest_size=16).digest())
+                    if keys[-1] not in known and keys[-1] not in fresh:
+                        fresh[keys[-1]] = (term[a:b], _unit(term[a:b], n[a:b], index.weight))
+                for key, (vote, ids) in zip(fresh, _votes(index, list(fresh.values())), strict=True):
+                    chance = 1 / (1 + np.exp(-(index.slope * np.log((vote + 0.02) / (1.02 - vote)) + index.shift)))
+                    known[key] = (float(chance), vote, ids.tolist())
+                for i, key in zip(rows.tolist(), keys, strict=True):
                     out[lo + i] = known[key]
             made = list(zip(*out, strict=True)) or [(), (), ()]
             yield with_columns(batch, keep, {"toxicity": pa.array(made[0], pa.float64()), "vote": pa.array(made[1], pa.float64()), "evidence": pa.array(made[2], pa.list_(pa.int32()))})

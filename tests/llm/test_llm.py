@@ -422,28 +422,31 @@ def toxic_rows():
 def test_toxicity_neighbours_are_exact(spark):
     """The block-max index against cosines of whole vectors, over all words."""
     rows, labels = toxic_rows()
+    rows = [(i, f"{t} rare{i // 3} odd{i % 40}") for i, t in rows]
     index = toxicity.fit(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
     n, v = len(index.toxic), len(index.terms)
-    assert n == 300 and v == len({w for _, t in rows for w in t.split()})
+    assert n == 300 and v == len({w for _, t in rows for w in t.split()}) and 0 < index.dense.shape[1] < v
     dense = np.zeros((n, v))
     for t in range(v):
+        if index.column[t] >= 0:
+            dense[:, t] = index.dense[:, index.column[t]]
         for e in range(index.entry[t], index.entry[t + 1]):
             own = slice(index.begin[e], index.begin[e + 1])
             dense[index.example[own], t] = index.value[own]
             assert index.largest[e] == index.value[own].max() and set(index.example[own] // toxicity.BLOCK) == {index.block[e]}
     assert (dense**2).sum(1) == pytest.approx(np.ones(n), abs=1e-5)
     rng = np.random.default_rng(1)
-    for turn in range(80):
+    asked, skips = [], [-1, 0, 7] * 30
+    for turn in range(90):
         term = np.flatnonzero(rng.random(v) < (0.02 if turn % 2 else 0.3))
-        q = rng.random(len(term)) ** 4 + 1e-3
-        skip = turn % 3 - 1
-        ids, cosine = toxicity.nearest(index, term, q, skip)
+        asked.append((term, rng.random(len(term)) ** 4 + 1e-3))
+    for (term, q), skip, (ids, cosine) in zip(asked, skips, toxicity.nearest(index, asked, skips), strict=True):
         every = dense[:, term] @ q
         if skip >= 0:
             every[skip] = 0
         want = np.sort(every[every > 1e-9])[::-1][: index.k]
-        assert cosine == pytest.approx(want, abs=1e-6) and len(set(ids)) == len(ids) and skip not in ids
-        assert every[ids] == pytest.approx(cosine, abs=1e-6)
+        assert cosine == pytest.approx(want, abs=1e-9) and len(set(ids)) == len(ids) and skip not in ids
+        assert every[ids] == pytest.approx(cosine, abs=1e-9)
     got = {r.doc_id: r.toxicity for r in toxicity.score(docs_of(spark, [*rows, (900, "you vile thing"), (901, None)]), index).collect()}
     assert got[900] > 0.7 and got[901] < 0.5 and all((got[i] > 0.5) == bool(t) for i, t in labels)
 

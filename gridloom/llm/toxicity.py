@@ -315,7 +315,7 @@ def score(docs: DataFrame, index: Index, keep: list[str] | None = None) -> DataF
                 rows = np.unique(row)
                 starts = np.searchsorted(row, rows)
                 keys, fresh = [], {}
-                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(row)], strict=True):
+                for a, b in zip(starts.tolist(), np.append(starts, len(row))[1:].tolist(), strict=True):
                     keys.append(hashlib.blake2b(term[a:b].tobytes() + n[a:b].tobytes(), digest_size=16).digest())
                     if keys[-1] not in known and keys[-1] not in fresh:
                         fresh[keys[-1]] = (term[a:b], _unit(term[a:b], n[a:b], index.weight))

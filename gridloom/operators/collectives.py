@@ -31,6 +31,18 @@ def allreduce(rows: DataFrame, worker: str, values: str) -> DataFrame:
     return rows.select(worker).distinct().join(F.broadcast(total))
 
 
+def local_elapsed(rows: DataFrame, host: str, now: int) -> DataFrame:
+    """rows(worker, host, time) and cumulative: milliseconds since time for what this host sent, 0 for others, whose clocks may differ."""
+    return rows.withColumn("cumulative", F.when(F.col("host") == host, F.lit(now) - F.col("time")).otherwise(F.lit(0)).cast("long"))
+
+
+def write_times(spark: SparkSession, times: list[float], path: str) -> None:
+    """A line Time:<cumulative ms> for each round."""
+    from gridloom.sources.text import write_lines
+
+    write_lines(spark, [f"Time:{int(t)}" for t in times], path)
+
+
 def benchmark(spark: SparkSession, size: int = 1000, iterations: int = 10, workers: int = 8, everywhere: bool = False) -> list[float]:
     """Cumulated milliseconds after each round of broadcast and reduce (or allreduce)."""
     payload = checkpointed(spark.range(size).agg(F.sort_array(F.collect_list("id")).alias("list")))

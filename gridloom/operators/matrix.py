@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions.vectors import decode
+
 
 def row_ranges(rows: int, splits: int) -> list[tuple[int, int]]:
     """(start, count) of each split: the first rows % splits get one more."""
@@ -40,6 +42,33 @@ def ordered_gather(rows: DataFrame, n_rows: int | None = None) -> DataFrame:
     return made.select(F.when(fine, F.transform("r", lambda x: x["data"])).otherwise(F.raise_error(F.lit("rows are missing or twice there")).cast("array<array<double>>")).alias("matrix"))
 
 
+def array_sums(rows: DataFrame, key: str, values: str) -> DataFrame:
+    """key, s (element-wise sum of arrays) and n: a batch is summed before the exchange, so wide arrays need no wide expression."""
+    kind = T.StructType([rows.schema[key], T.StructField("k", T.IntegerType()), T.StructField("v", T.DoubleType()), T.StructField("m", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(values).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            code = b.column(key).dictionary_encode()
+            n = len(code.dictionary)
+            which = code.indices.to_numpy()
+            total = np.zeros((n, x.shape[1]))
+            np.add.at(total, which, x)
+            count = np.bincount(which, minlength=n)
+            at = np.repeat(np.arange(n), x.shape[1])
+            yield pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(at)), pa.array(np.tile(np.arange(x.shape[1], dtype=np.int32), n)), pa.array(total.ravel()), pa.array(count[at])], names=[key, "k", "v", "m"])
+
+    parts = rows.filter(F.col(key).isNotNull()).select(key, values).mapInArrow(run, kind).groupBy(key, "k").agg(F.sum("v").alias("v"), F.sum("m").alias("m"))
+    return parts.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("s"), F.max("m").alias("n"))
+
+
+def rounded_cells(rows: DataFrame, n: int) -> DataFrame:
+    """i, j, v of stored rows(i, data): decoded distances times n * n, rounded."""
+    return rows_to_cells(rows).select("i", "j", F.round(decode(F.col("v")) * F.lit(float(n) * n)).cast("long").alias("v"))
+
+
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     """cells of A x B from cells; Spark picks a broadcast of B where its size allows."""
     right = b.select(F.col("i").alias("k"), F.col("j").alias("p"), F.col("v").alias("w"))

@@ -19,13 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.vectors import axpy, decode, distance, dot, encode, sammon
+from gridloom.operators.matrix import array_sums
 from gridloom.session import checkpointed
-from gridloom.types import ScalingConfig
+from gridloom.types import DECODE, ScalingConfig
 
 #: Distances under NEAR give no force, temperatures up to COLD count as 0.
 NEAR, COLD = 1e-10, 1e-9
+#: Up to so many dimensions each one is a sum of its own.
+WIDE = 32
 #: The configuration of a dense run may take so many bytes in each task.
 DENSE_BYTES = 256 << 20
+#: Matrix rows that a kernel takes at once.
+BLOCK_ROWS = 64
 
 
 def weights_join(distances: DataFrame, weights: DataFrame, scale: float | None = None) -> DataFrame:
@@ -92,6 +97,9 @@ def b_of_z(cells: DataFrame, x: DataFrame, t: float, dimension: int) -> DataFram
 def matrix_points(cells: DataFrame, x: DataFrame, dimension: int) -> DataFrame:
     """i, x: cells(i, j, v) times the configuration."""
     right = x.select(F.col("i").alias("j"), F.col("x").alias("xj"))
+    if dimension > WIDE:
+        scaled = cells.join(right, "j").select("i", F.transform("xj", lambda c: F.col("v") * c).alias("x"))
+        return array_sums(scaled, "i", "x").select("i", F.col("s").alias("x"))
     return cells.join(right, "j").groupBy("i").agg(F.array(*(F.sum(F.col("v") * F.col("xj")[k]) for k in range(dimension))).alias("x"))
 
 
@@ -162,9 +170,54 @@ class Iteration:
         return cls(float(t), float(s), int(si), int(ti), float(pre), float(low), int(cg))
 
 
+def annealed(step, stress, x, t_cur: float, t_min: float, config: ScalingConfig, history: list[Iteration]):
+    """Temperature loops around stress loops. step(x, t) -> x and its inner iterations; stress(x, t); each stress step is recorded in history."""
+    state = Iteration(t_cur, t_min=t_min)
+    while True:
+        state.pre_stress, steps = stress(x, state.t_cur), 0
+        gain = config.threshold + 1
+        while gain >= config.threshold or config.max_stress_loops > 0:
+            x, state.cg_count = step(x, state.t_cur)
+            state.stress = stress(x, state.t_cur)
+            gain, steps = state.pre_stress - state.stress, steps + 1
+            state.stress_itr = steps
+            history.append(Iteration(**state.__dict__))
+            state.pre_stress = state.stress
+            if config.max_stress_loops >= 0 and steps == config.max_stress_loops:
+                break
+        if config.max_temp_loops >= 0 and state.t_itr == config.max_temp_loops or config.max_temp_loops < 0 and state.t_cur == 0:
+            return x
+        state.t_itr += 1
+        state.t_cur *= config.alpha
+        if state.t_cur < state.t_min:
+            state.t_cur = 0.0
+
+
+def anneal(cells: DataFrame, x: DataFrame, t_cur: float, t_min: float, inverse: float, config: ScalingConfig) -> tuple[DataFrame, list[Iteration]]:
+    """The annealing run by the relational operators, for configurations that are too large for every task."""
+    d, history = config.dimension, []
+    v = checkpointed(v_diagonal(cells))
+
+    def step(x: DataFrame, t: float) -> tuple[DataFrame, int]:
+        bc = matrix_points(b_of_z(cells, x, t, d), x, d)
+        found = conjugate_gradient(cells, v, bc, x, d, config.cg_iterations, config.cg_threshold, config.exact_cg)
+        return checkpointed(found.x), found.iterations
+
+    return annealed(step, lambda x, t: stress(cells, x, t, d, inverse).collect()[0][0] or 0.0, x, t_cur, t_min, config, history), history
+
+
+def _distances(x: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """From rows i to all rows, a dimension at a time."""
+    out = np.zeros((len(i), len(x)))
+    for column in x.T:
+        out += (column[i][:, None] - column) ** 2
+    return np.sqrt(out)
+
+
 @dataclass
 class DenseScaling:
-    """The same operators over rows(i, delta ARRAY<DOUBLE>, w ARRAY<DOUBLE>), all n of a matrix."""
+    """The same operators over rows(i, delta, w), all n of a matrix; delta and w are arrays of doubles, or of stored 16-bit
+    integers, which are decoded batch by batch in the kernels."""
 
     rows: DataFrame
     n: int
@@ -173,18 +226,20 @@ class DenseScaling:
 
     def __post_init__(self):
         if self.n * self.dimension * 8 > DENSE_BYTES:
-            raise ValueError("the configuration is too large to be sent to every task; use the relational operators")
+            raise ValueError("the configuration is too large to be sent to every task; use anneal()")
 
     def _each(self, kernel, width: int) -> np.ndarray:
         """kernel(i, delta, w) -> rows by width, gathered in order of i; n by width numbers."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if b.num_rows:
-                    i = b.column("i").to_numpy().astype(int)
-                    delta, w = (b.column(c).flatten().to_numpy().reshape(len(i), -1) for c in ("delta", "w"))
+                for lo in range(0, b.num_rows, BLOCK_ROWS):
+                    part = b.slice(lo, BLOCK_ROWS)
+                    i = part.column("i").to_numpy().astype(int)
+                    flat = [part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("delta", "w")]
+                    delta, w = ((v * DECODE if v.dtype == np.int16 else v).reshape(len(i), -1) for v in flat)
                     out = np.ascontiguousarray(kernel(i, delta, w))
-                    yield pa.RecordBatch.from_arrays([b.column("i"), pa.ListArray.from_arrays(np.arange(0, out.size + 1, width, dtype=np.int32), pa.array(out.ravel()))], names=["i", "x"])
+                    yield pa.RecordBatch.from_arrays([part.column("i"), pa.ListArray.from_arrays(np.arange(0, out.size + 1, width, dtype=np.int32), pa.array(out.ravel()))], names=["i", "x"])
 
         got = self.rows.select(F.col("i").cast("long").alias("i"), "delta", "w").mapInArrow(run, T.StructType([T.StructField("i", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])).toArrow()
         i = got.column("i").to_numpy()
@@ -198,7 +253,7 @@ class DenseScaling:
         gap = _gap(self.dimension, t)
 
         def kernel(i, delta, w):
-            d = np.sqrt(((x[i][:, None] - x[None]) ** 2).sum(2))
+            d = _distances(x, i)
             off = np.where(delta >= gap, delta - gap - d, -d)
             return np.where(delta >= 0, w * off * off, 0).sum(1, keepdims=True)
 
@@ -216,7 +271,7 @@ class DenseScaling:
         gap = _gap(self.dimension, t)
 
         def kernel(i, delta, w):
-            d = np.sqrt(((x[i][:, None] - x[None]) ** 2).sum(2))
+            d = _distances(x, i)
             force = (d >= NEAR) & (gap < delta) & (delta >= 0)
             force[np.arange(len(i)), i] = False
             b = np.where(force, -w * (delta - gap) / np.where(d >= NEAR, d, 1), 0)
@@ -252,26 +307,41 @@ class DenseScaling:
 
     def run(self, x: np.ndarray, t_cur: float, t_min: float, inverse: float, config: ScalingConfig) -> np.ndarray:
         """Temperature loops around stress loops; each stress step is recorded in history."""
-        state = Iteration(t_cur, t_min=t_min)
         v = self.v_diagonal()
-        while True:
-            state.pre_stress, steps = self.stress(x, state.t_cur, inverse), 0
-            gain = config.threshold + 1
-            while gain >= config.threshold or config.max_stress_loops > 0:
-                x, _, state.cg_count = self.solve(v, self.bc(x, state.t_cur), x, config.cg_iterations, config.cg_threshold, config.exact_cg)
-                state.stress = self.stress(x, state.t_cur, inverse)
-                gain, steps = state.pre_stress - state.stress, steps + 1
-                state.stress_itr = steps
-                self.history.append(Iteration(**state.__dict__))
-                state.pre_stress = state.stress
-                if config.max_stress_loops >= 0 and steps == config.max_stress_loops:
-                    break
-            if config.max_temp_loops >= 0 and state.t_itr == config.max_temp_loops or config.max_temp_loops < 0 and state.t_cur == 0:
-                return x
-            state.t_itr += 1
-            state.t_cur *= config.alpha
-            if state.t_cur < state.t_min:
-                state.t_cur = 0.0
+
+        def step(x: np.ndarray, t: float) -> tuple[np.ndarray, int]:
+            x, _, done = self.solve(v, self.bc(x, t), x, config.cg_iterations, config.cg_threshold, config.exact_cg)
+            return x, done
+
+        return annealed(step, lambda x, t: self.stress(x, t, inverse), x, t_cur, t_min, config, self.history)
+
+
+def stored_rows(distances: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """rows(i, delta, w) of stored rows(i, data) of 16-bit integers, still stored; without weights all are 1."""
+    left = distances.select("i", F.col("data").alias("delta"))
+    if weights is None:
+        return left.select("i", "delta", F.transform("delta", lambda v: F.lit(32767).cast("smallint")).alias("w"))
+    return left.join(weights.select("i", F.col("data").alias("w")), "i")
+
+
+def stored_stats(distances: DataFrame) -> DataFrame:
+    """cell_stats of stored rows(i, data): each row by itself first, so cells are never rows."""
+    v = F.filter(F.transform("data", decode), lambda x: x >= 0)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    rows = distances.select(v.alias("v")).select(
+        F.size("v").cast("long").alias("n"), total(F.col("v")).alias("total"), F.array_min("v").alias("low"), F.array_max("v").alias("high"),
+        total(F.transform("v", lambda x: x * x)).alias("squares"), F.array_min(F.filter("v", lambda x: x > 0)).alias("positive"),
+    )
+    return rows.agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), (F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.sum("squares").alias("sum_of_squares"), F.min("positive").alias("positive_min"),
+    )
+
+
+def stored_zero_fix(distances: DataFrame, positive_min: float) -> DataFrame:
+    """zero_fix of stored rows(i, data)."""
+    low = F.lit(positive_min)
+    return distances.withColumn("data", F.transform("data", lambda v: F.when((decode(v) >= 0) & (decode(v) < low), encode(low)).otherwise(v)))
 
 
 def dense_rows(cells: DataFrame) -> DataFrame:

@@ -6,10 +6,16 @@ zero weights, stands for stored matrices. supplier gives a larger one. embedding
 
 from __future__ import annotations
 
+import math
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import scaling as S
+from gridloom.session import shared_dir
+from gridloom.sources.matrix import write_matrix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +61,19 @@ def configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(k.cast("long").alias("i"), F.array((k % 5) * F.lit(0.25), (k % 7) * F.lit(0.125)).alias("x"))
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(spark: SparkSession, cells: DataFrame, label: str, dtype: str = "int16", endian: str = "big") -> str:
+    """The path of a binary file of nation's 25 by 25 cells(i, j, v)."""
+    rows = sorted(cells.select("i", "j", "v").collect())
+    path = shared_path(spark, label)
+    write_matrix(path, np.array([r.v for r in rows]).reshape(-1, math.isqrt(len(rows))), dtype, endian)
+    return path
+
+
 #: The same as common table expressions.
 SQL = """
 pts AS (SELECT n_nationkey::BIGINT AS i, n_nationkey::DOUBLE AS a, n_regionkey::DOUBLE AS b FROM nation),

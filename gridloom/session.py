@@ -16,10 +16,22 @@ def session(app: str = "gridloom", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only a session on one machine may leave it out."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gridloom.shared.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
+        spark.conf.set("gridloom.shared.dir", found)
+    return found
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder of spark.checkpoint.dir."""
+    """df with its lineage cut by a checkpoint in the shared folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+        context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()

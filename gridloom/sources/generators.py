@@ -44,3 +44,14 @@ def gaussian_mixture(spark: SparkSession, n: int, k: int, dimension: int, deviat
 def two_decimals(value: float) -> str:
     """#0.00, halves to even."""
     return str(decimal.Decimal(repr(value)).quantize(decimal.Decimal("0.01"), decimal.ROUND_HALF_EVEN))
+
+
+def random_doubles(rows: int, cols: int, seed: int = 0) -> np.ndarray:
+    """Whole numbers from 0 to 9 as doubles."""
+    return np.random.default_rng(seed).integers(0, 10, (rows, cols)).astype(float)
+
+
+def two_blocks(spark: SparkSession, rows: int, cols: int) -> DataFrame:
+    """Two blocks of rows: block, k, v, where v is 100 k as a 16-bit integer that wraps around."""
+    hundred = F.pmod(F.col("k") * 100 + 32768, F.lit(65536)) - 32768
+    return spark.range(2).select(F.col("id").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(rows * cols - 1))).alias("k")).withColumn("v", hundred.cast("smallint"))

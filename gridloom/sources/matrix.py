@@ -1,4 +1,4 @@
-"""A data source for headerless binary matrices, read in row ranges from any file system that pyarrow opens."""
+"""A data source for headerless binary matrices, read in row ranges from any file system that pyarrow opens; others go through Hadoop."""
 
 from __future__ import annotations
 
@@ -67,7 +67,29 @@ class BinaryMatrix(DataSource):
         return _Reader(self.options)
 
 
-def read_matrix(spark: SparkSession, path: str, rows: int, cols: int, dtype: str = "int16", endian: str = "big", splits: int = 0) -> DataFrame:
+#: Schemes that pyarrow opens.
+_DIRECT = ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss")
+
+
+def _through_hadoop(spark: SparkSession, path: str, rows: int, cols: int, dtype: str, endian: str) -> DataFrame:
+    """Rows as records of fixed length, numbered by their place: for file systems that only Hadoop knows."""
+    kind = np.dtype(_KINDS[dtype, endian])
+    form = "org.apache.spark.input.FixedLengthBinaryInputFormat"
+    records = spark.sparkContext.newAPIHadoopFile(path, form, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={f"{form}.recordLength": str(kind.itemsize * cols)})
+    raw = spark.createDataFrame(records.map(lambda r: (r[0], bytes(r[1]))), "i long, content binary").filter(F.col("i") < rows)
+
+    def run(batches):
+        for b in batches:
+            data = np.frombuffer(b"".join(v.as_py()[: kind.itemsize * cols] for v in b.column("content")), kind).astype(kind.newbyteorder("="))
+            yield pa.RecordBatch.from_arrays([b.column("i"), pa.ListArray.from_arrays(np.arange(0, b.num_rows * cols + 1, max(cols, 1), dtype=np.int32), pa.array(data))], names=["i", "data"])
+
+    return raw.mapInArrow(run, f"i long, data array<{'smallint' if dtype == 'int16' else 'double'}>")
+
+
+def read_matrix(spark: SparkSession, path: str, rows: int, cols: int, dtype: str = "int16", endian: str = "big", splits: int = 0, hadoop: bool | None = None) -> DataFrame:
+    """rows(i, data). hadoop: whether the file is read through Hadoop; by its scheme if None."""
+    if hadoop or hadoop is None and "://" in path and path.partition("://")[0] not in _DIRECT:
+        return _through_hadoop(spark, path, rows, cols, dtype, endian)
     spark.dataSource.register(BinaryMatrix)
     return spark.read.format("binarymatrix").options(path=path, rows=rows, cols=cols, dtype=dtype, endian=endian, splits=splits).load()
 
@@ -89,3 +111,32 @@ def write_matrix(path: str, values: np.ndarray, dtype: str = "int16", endian: st
     system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     with system.open_output_stream(inner) as file:
         file.write(np.asarray(values).astype(_KINDS[dtype, endian]).tobytes())
+
+
+def read_cells(
+    spark: SparkSession, distance_file: str, n: int, weight_file: str | None = None, weights: str = "none", endian: str = "big", weight_endian: str = "big",
+    transform=None, weight_transform=None, sammon: float | None = None, repetitions: int = 1, splits: int = 0,
+) -> DataFrame:
+    """cells(i, j, delta, w) of a distance file and its weights: none (all 1), matrix (a file like the distances) or simple (a text
+    file of one number a point, w = s_i * s_j). transform changes decoded distances that aren't missing, weight_transform weights;
+    sammon is the average distance for Sammon weights; repetitions repeats all cells (column repetition)."""
+    from gridloom.functions.vectors import decode
+    from gridloom.operators import matrix, scaling
+
+    cells = matrix.rows_to_cells(read_matrix(spark, distance_file, n, n, "int16", endian, splits)).select("i", "j", decode(F.col("v")).alias("delta"))
+    if transform:
+        cells = cells.withColumn("delta", F.when(F.col("delta") >= 0, transform(F.col("delta"))).otherwise(F.col("delta")))
+    change = weight_transform or (lambda c: c)
+    if weights == "none":
+        cells = cells.withColumn("w", F.lit(1.0))
+    elif weights == "simple":
+        from gridloom.sources.text import read_matrix_text
+
+        cells = scaling.simple_weights(cells, read_matrix_text(spark, weight_file).select("i", F.col("x")[0].alias("s")), change)
+    elif weights == "matrix":
+        other = matrix.rows_to_cells(read_matrix(spark, weight_file, n, n, "int16", weight_endian, splits)).select("i", "j", change(decode(F.col("v"))).alias("w"))
+        cells = cells.join(other, ["i", "j"])
+    else:
+        raise ValueError("weights must be none, simple or matrix")
+    cells = scaling.sammon_weights(cells, sammon) if sammon is not None else cells
+    return cells if repetitions == 1 else cells.withColumn("repetition", F.explode(F.sequence(F.lit(1), F.lit(repetitions))))

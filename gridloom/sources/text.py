@@ -51,13 +51,29 @@ def write_rows(rows: DataFrame, path: str) -> None:
     rows.orderBy("i").coalesce(1).select(format_doubles(F.col(column)).alias("value")).write.mode("overwrite").text(path)
 
 
-def read_timing_log(spark: SparkSession, path: str, column: int = 3) -> DataFrame:
-    """file, value of logs between spaces, quoted by |."""
-    return spark.read.option("sep", " ").option("quote", "|").option("recursiveFileLookup", "true").csv(path).select(F.input_file_name().alias("file"), F.col(f"_c{column}").cast("double").alias("value"))
+def read_timing_log(spark: SparkSession, path: str, column: int = 3, merged: bool = False) -> DataFrame:
+    """file, value of logs between spaces, quoted by |. merged: of each folder below path only the file merged_<folder>."""
+    reader = spark.read.option("sep", " ").option("quote", "|")
+    if not merged:
+        return reader.option("recursiveFileLookup", "true").csv(path).select(F.input_file_name().alias("file"), F.col(f"_c{column}").cast("double").alias("value"))
+    rows = reader.csv(f"{path.rstrip('/')}/*/merged_*").select(F.input_file_name().alias("file"), F.col(f"_c{column}").cast("double").alias("value"))
+    parts = F.split("file", "/")
+    return rows.filter(F.element_at(parts, -1) == F.concat(F.lit("merged_"), F.element_at(parts, -2)))
+
+
+def write_lines(spark: SparkSession, lines: list[str], path: str) -> None:
+    """One file of lines in order, through Spark's own file systems."""
+    spark.createDataFrame([(k, line) for k, line in enumerate(lines)], "k int, value string").orderBy("k").coalesce(1).select("value").write.mode("overwrite").text(path)
+
+
+def write_points(points: DataFrame, path: str, separator: str = " ", decimals: bool = False) -> None:
+    """Lines of coordinates; decimals: two of them, halves to even."""
+    value = F.transform("x", lambda v: (F.format_string("%.2f", F.bround(v, 2)) if decimals else v.cast("string")))
+    points.select(F.array_join(value, separator).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_iterations(spark: SparkSession, history: list[Iteration], path: str) -> None:
-    spark.createDataFrame([(k, h.line()) for k, h in enumerate(history)], "k int, value string").orderBy("k").coalesce(1).select("value").write.mode("overwrite").text(path)
+    write_lines(spark, [h.line() for h in history], path)
 
 
 def read_iteration(spark: SparkSession, path: str) -> Iteration:

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import programs
 from gridloom.functions import vectors as V
-from gridloom.operators import collectives, kmeans, matrix, stats
+from gridloom.operators import collectives, extent, kmeans, matrix, stats
 from gridloom.operators import scaling as S
 from gridloom.sources import generators, text
 from gridloom.sources.matrix import decode_shorts, read_matrix, write_matrix
@@ -104,8 +105,8 @@ def test_kmeans_against_numpy(spark, tmp_path, dense):
     want, n = lloyd(x, first, steps)
     got = kmeans.kmeans(points, centres, steps, dense=dense).orderBy("cid").collect()
     assert np.array([r.x for r in got]) == pytest.approx(want, abs=1e-9) and [r.n for r in got] == n.tolist() and n.sum() == 1000
-    by_join = kmeans.nearest_by_join(points, centres, block=3).groupBy("cid").count().collect()
-    assert {r.cid: r["count"] for r in by_join} == {c + 1: k for c, k in enumerate(lloyd(x, first, 1)[1].tolist()) if k}
+    grouped = kmeans.nearest_in_groups(points, centres, 2, cells=6).groupBy("cid").count().collect()
+    assert {r.cid: r["count"] for r in grouped} == {c + 1: k for c, k in enumerate(lloyd(x, first, 1)[1].tolist()) if k}
 
 
 def test_kmeans_edges(spark):
@@ -119,6 +120,8 @@ def test_kmeans_edges(spark):
     bad = spark.createDataFrame([(1, [float("nan")])], "id long, x array<double>")
     with pytest.raises(Exception, match="not a number"):
         kmeans.nearest(bad, centres).collect()
+    with pytest.raises(Exception, match="not a number"):
+        kmeans.nearest_in_groups(bad, centres, 1).collect()
 
 
 @pytest.mark.parametrize("endian", ["big", "little"])
@@ -149,14 +152,137 @@ def test_row_ranges():
 
 
 def test_products(spark):
-    a = spark.createDataFrame([(0, [1.0, 2.0, 3.0, 4.0, 5.0]), (1, [6.0, 7.0, 8.0, 9.0, 11.0])], "i long, data array<double>")
-    b = matrix.from_column_major([1, 1, 1, 1, 2, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1], 5)
-    assert [r.data for r in matrix.matmul_dense(a, b).orderBy("i").collect()] == [[20, 15, 15], [52, 41, 41]]
-    cells = spark.createDataFrame([(i, j, float(b[i, j])) for i in range(5) for j in range(3)], "i long, j long, v double")
+    left = np.random.default_rng(6).integers(-5, 6, (4, 7)).astype(float)
+    b = matrix.from_column_major(list(range(21)), 7)
+    assert b[:, 1].tolist() == list(range(7, 14))
+    a = spark.createDataFrame([(i, v) for i, v in enumerate(left.tolist())], "i long, data array<double>")
+    assert [r.data for r in matrix.matmul_dense(a, b).orderBy("i").collect()] == (left @ b).tolist()
+    cells = spark.createDataFrame([(i, j, float(b[i, j])) for i in range(7) for j in range(3)], "i long, j long, v double")
     got = matrix.cells_to_rows(matrix.matmul(matrix.rows_to_cells(a), cells)).orderBy("i").collect()
-    assert [r.data for r in got] == [[20, 15, 15], [52, 41, 41]]
+    assert [r.data for r in got] == (left @ b).tolist()
     with pytest.raises(Exception, match="missing"):
-        matrix.ordered_gather(a, 3).collect()
+        matrix.ordered_gather(a, 5).collect()
+
+
+def test_array_sums(spark):
+    rows = spark.createDataFrame([(k % 3, [float(k), -1.0, 0.5 * k]) for k in range(50)] + [(None, [1.0, 1.0, 1.0])], "key int, x array<double>")
+    got = {r.key: (r.s, r.n) for r in matrix.array_sums(rows, "key", "x").collect()}
+    assert got == {c: ([float(sum(range(c, 50, 3))), -1.0 * len(range(c, 50, 3)), 0.5 * sum(range(c, 50, 3))], len(range(c, 50, 3))) for c in range(3)}
+    assert matrix.array_sums(rows.limit(0), "key", "x").count() == 0
+
+
+def test_farthest(spark):
+    x = np.random.default_rng(9).integers(-20, 20, (300, 2)).astype(float)
+    for part in (x, x[:1], x[:2], np.ones((5, 2)), np.stack([np.arange(6.0), np.arange(6.0)], 1)):
+        points = spark.createDataFrame([(i, v) for i, v in enumerate(part.tolist())], "i long, x array<double>")
+        want = np.sqrt(((part[:, None] - part[None]) ** 2).sum(2)).max(1)
+        assert [r.farthest for r in extent.farthest(points).orderBy("i").collect()] == pytest.approx(want.tolist())
+
+
+def annealing_twin(delta, w, x, t, t_min, inverse, c):
+    """The whole run over full arrays, written apart from the operators."""
+    n, d = x.shape
+    off = ~np.eye(n, dtype=bool)
+    seen, out, t_itr = delta >= 0, [], 0
+    v = np.diag(1 + np.where(off & seen, w, 0).sum(1)) - np.where(off, w, 0)
+
+    def far(x):
+        return np.linalg.norm(x[:, None] - x[None], axis=2)
+
+    def stress(x, t):
+        gap = np.sqrt(2 * d) * t if t > 1e-9 else 0
+        return (w * (np.where(delta >= gap, delta - gap, 0) - far(x)) ** 2)[seen].sum() * inverse
+
+    while True:
+        pre = stress(x, t)
+        for step in range(1, c.max_stress_loops + 1):
+            gap, dist = np.sqrt(2 * d) * t if t > 1e-9 else 0, far(x)
+            b = np.zeros((n, n))
+            force = off & seen & (dist >= 1e-10) & (delta > gap)
+            b[force] = -(w * (delta - gap))[force] / dist[force]
+            np.fill_diagonal(b, -b.sum(1))
+            r = b @ x - v @ x
+            p, rr, cg, end = r, (r * r).sum(), 0, (r * r).sum() * c.cg_threshold
+            while cg < c.cg_iterations and rr:
+                vp = v @ p
+                a, cg = rr / (p * vp).sum(), cg + 1
+                x = x + a * p
+                if rr < end and not c.exact_cg:
+                    break
+                r = r - a * vp
+                p, rr = r + (r * r).sum() / rr * p, (r * r).sum()
+            post = stress(x, t)
+            out.append((t, post, step, t_itr, pre, t_min, cg))
+            pre = post
+        if t_itr == c.max_temp_loops:
+            return x, out
+        t_itr, t = t_itr + 1, t * c.alpha
+        t = t if t >= t_min else 0.0
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_whole_runs_against_numpy(spark, tmp_path, exact):
+    """The program, from files to files, and the relational loop against arrays in this process; one early end among them."""
+    rng = np.random.default_rng(12)
+    n, d = 20, 2
+    at = rng.random((n, 3))
+    stored = np.round(30000 * np.linalg.norm(at[:, None] - at[None], axis=2) / 2).astype(np.int16)
+    stored[3, 9] = stored[9, 3] = -1
+    weights = rng.integers(0, 3, (n, n)).astype(np.int16) * 10000
+    weights = np.maximum(weights, weights.T)
+    x = rng.uniform(-1, 1, (n, d))
+    write_matrix(str(tmp_path / "d"), stored)
+    write_matrix(str(tmp_path / "w"), weights, endian="little")
+    (tmp_path / "x").write_text("".join("\t".join(map(repr, row)) + "\t\n" for row in x.tolist()))
+    lines = f"DistanceMatrixFile={tmp_path}/d\nWeightMatrixFile={tmp_path}/w\nInitialPointsFile={tmp_path}/x\nNumberDataPoints={n}\nTargetDimension={d}\nAlpha=.5\nCGIterations=6\nIsBigEndian=false\nMaxTempLoops=2\nMaxStressLoops=2\nOutputFolder={tmp_path}/out\nExactCGIter={str(exact).lower()}\nCGErrorThreshold=.2"
+    config = ScalingConfig.read(lines)
+    got = programs.scaling(spark, config)
+    delta, w = stored / 32767, weights / 32767
+    good = delta[delta >= 0]
+    low = good[good > 0].min()
+    fixed = np.where((delta >= 0) & (delta < low), np.trunc(low * 32767) / 32767, delta)
+    t, t_min = 0.5 * good.max() / np.sqrt(2 * d), 0.5 * low / np.sqrt(2 * d)
+    want, steps = annealing_twin(fixed, w, x, t, t_min, 1 / (good**2).sum(), config)
+    assert got.points == pytest.approx(want, abs=1e-8)
+    assert [tuple(h.__dict__.values()) for h in got.history] == [pytest.approx(s, rel=1e-8) for s in steps]
+    assert exact or any(h.cg_count < 6 for h in got.history)
+    assert np.array([r.x for r in text.read_matrix_text(spark, f"{tmp_path}/out/points").orderBy("i").collect()]) == pytest.approx(want, abs=1e-8)
+    assert spark.read.text(f"{tmp_path}/out/iterations").count() == 6 and "temperature loops: 3" in {r.value for r in spark.read.text(f"{tmp_path}/out/report").collect()}
+    times = [r.value.split() for r in spark.read.text(f"{tmp_path}/out/timings").collect()]
+    assert [t[0] for t in times] == ["total"] + ["loop"] * 3 + ["step"] * 6
+    if not exact:
+        cells = spark.createDataFrame([(i, j, float(fixed[i, j]), float(w[i, j])) for i in range(n) for j in range(n)], "i long, j long, delta double, w double").persist()
+        start = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "i long, x array<double>")
+        one = ScalingConfig(dimension=d, alpha=0.5, cg_iterations=3, cg_threshold=0.2, max_stress_loops=1, max_temp_loops=1)
+        y, history = S.anneal(cells, start, t, t_min, 1 / (good**2).sum(), one)
+        want, steps = annealing_twin(fixed, w, x, t, t_min, 1 / (good**2).sum(), one)
+        assert rows(y) == pytest.approx(want, abs=1e-8) and [h.cg_count for h in history] == [s[-1] for s in steps]
+
+
+def test_generator_programs(spark, tmp_path):
+    programs.generate(spark, "matrix", str(tmp_path / "m"), 6, 4)
+    got = np.array([r.data for r in read_matrix(spark, str(tmp_path / "m"), 6, 4, "float64").orderBy("i").collect()])
+    assert got.shape == (6, 4) and set(got.ravel()) <= set(range(10))
+    programs.generate(spark, "shorts", str(tmp_path / "s"), 5)
+    assert read_matrix(spark, str(tmp_path / "s"), 5, 5).count() == 5
+    programs.generate(spark, "points", str(tmp_path / "p"), 7, 3)
+    assert {len(r.x) for r in text.read_matrix_text(spark, str(tmp_path / "p")).collect()} == {3}
+    programs.generate(spark, "mixture", str(tmp_path / "g"), 30, 2, centers=4)
+    assert text.read_points(spark, str(tmp_path / "g/points"), 2).count() == 30
+    assert [r.cid for r in text.read_centroids(spark, str(tmp_path / "g/centers")).orderBy("cid").collect()] == [1, 2, 3, 4]
+    assert programs.matrix_multiply(spark, str(tmp_path / "m"), 6, 4, np.ones((4, 2)), str(tmp_path / "o"), check=True) == 0
+    (tmp_path / "logs/a").mkdir(parents=True)
+    (tmp_path / "logs/a/merged_a").write_text("x y z 3\n")
+    (tmp_path / "logs/a/merged_b").write_text("x y z 9\n")
+    assert [r.value for r in text.read_timing_log(spark, str(tmp_path / "logs"), merged=True).collect()] == [3.0]
+
+
+def test_closest_centres_are_exact():
+    rng = np.random.default_rng(1)
+    x, c = rng.integers(-3, 4, (400, 3)) * 1e4 + 1.0, rng.integers(-3, 4, (60, 3)) * 1e4 + 1.0
+    near, d = kmeans.closest(x, c)
+    every = ((x[:, None] - c[None]) ** 2).sum(2)
+    assert near.tolist() == every.argmin(1).tolist() and d.tolist() == every.min(1).tolist()
 
 
 def test_text_sources(spark, tmp_path):

@@ -7,8 +7,9 @@ visited in the order in which they leave the queue. How many leaves are visited
 widened on sampled queries until the recall against brute force over the sample reaches the target, and for
 each query until the visited leaves hold k neighbours, or all there are.
 
-Leaves are cut into parts of at most ``part`` vectors, so a leaf that holds a third of all vectors is searched
-by many tasks. A part compares all its queries with all its vectors in blocks: products bound the distances, and
+Neighbouring leaves share a bucket of at least a BUCKETS-th of all vectors and at most ``part``; a larger leaf, one
+that holds a third of all vectors, is cut into several. So a query travels to few buckets, with the numbers of the leaves that it
+visits there. A bucket compares the queries of each leaf with its vectors in blocks: products bound the distances, and
 those within rounding of the k-th are computed again, exactly. It returns each query's k best, and those meet in one aggregation.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part;
@@ -31,6 +32,10 @@ from pyspark.sql import types as T
 from gridloom.llm.shared import trimmed
 
 
+#: Buckets of a table that fits them, and queries that a bucket takes at once.
+BUCKETS, QUERIES = 32, 2000
+
+
 @dataclass(frozen=True)
 class Tree:
     """Inner nodes have children; leaves have a number instead."""
@@ -137,6 +142,19 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def buckets(held: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first bucket of each leaf, and in how many it is cut: neighbours share one up to ``size``."""
+    first, parts = np.zeros(len(held), np.int64), np.maximum(1, -(-held // size))
+    bucket, filled = 0, 0
+    for leaf, n in enumerate(held.tolist()):
+        if filled and (filled + n > size or parts[leaf] > 1):
+            bucket, filled = bucket + 1, 0
+        first[leaf], filled = bucket, filled + n
+        if parts[leaf] > 1:
+            bucket, filled = bucket + int(parts[leaf]), 0
+    return first, parts
+
+
 def closest(y: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Query numbers, rows of y and distances of each query's k nearest (ties: smaller id) but those of its own id, in blocks of queries."""
     size = (y * y).sum(1)
@@ -154,7 +172,7 @@ def closest(y: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray
         yield q[rank < k] + a, row[rank < k], exact[rank < k]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", column: str = "embedding", least: int = 12_000, most: int = 100_000, branch: int = 12, leaf_size: int = 60, target: float = 0.965, part: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", column: str = "embedding", least: int = 12_000, most: int = 100_000, branch: int = 12, leaf_size: int = 60, target: float = 0.965, part: int = 100_000) -> DataFrame:
     """query_id, rank, the neighbour's id and Euclidean distance, for the rows that is_query (over ``id``) picks."""
     rows = usable(vectors, id_column, column)
     spark = rows.sparkSession
@@ -181,31 +199,52 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "
     for r in members.groupBy("leaf").agg(F.count("*").alias("n")).collect():  # a row a leaf of the bounded tree
         held[r.leaf] = r.n
     copies = rows.filter(is_query).groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).collect()[0][0] or 0
+    first, parts = buckets(held, min(part, max(1, -(-n // BUCKETS))))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                y = matrix(b.column("x"))
-                each = [tree.order(q, tree.visit, held, k + copies) for q in y]
-                at = np.repeat(np.arange(len(y)), [len(e) for e in each])
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), b.column("x").take(pa.array(at)), pa.array(np.concatenate(each), pa.int32())], names=["id", "x", "leaf"])
-
-    parts = -(-held // part)
-    split = F.create_map(*(F.lit(v) for leaf in range(tree.leaves) for v in (leaf, int(parts[leaf]))))
-    members = members.withColumn("part", F.pmod(F.xxhash64("id"), F.greatest(split[F.col("leaf")], F.lit(1))).cast("int"))
-    asked = rows.filter(is_query).dropDuplicates(["id", "x"]).mapInArrow(trimmed(visits), kind).withColumn("part", F.explode(F.when(split[F.col("leaf")] > 0, F.sequence(F.lit(0), split[F.col("leaf")] - 1)).otherwise(F.expr("array()")).cast("array<int>")))
+                at, where, leaves_of = [], [], []
+                for i, q in enumerate(matrix(b.column("x"))):
+                    own = np.array(tree.order(q, tree.visit, held, k + copies))
+                    for bucket in np.unique(first[own[held[own] > 0]]).tolist():
+                        some = own[(first[own] == bucket) & (held[own] > 0)]
+                        for more in range(int(parts[some[0]])):
+                            at.append(i)
+                            where.append(bucket + more)
+                            leaves_of.append(some.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), b.column("x").take(pa.array(at, pa.int64())), pa.array(where, pa.int32()), pa.array(leaves_of, pa.list_(pa.int32()))], names=["id", "x", "bucket", "leaves"])
+
+    number = lambda values: F.get(F.array(*(F.lit(int(v)) for v in values)), F.col("leaf"))
+    members = members.withColumn("bucket", (number(first) + F.pmod(F.xxhash64("id"), number(parts))).cast("int"))
+    asked = rows.filter(is_query).dropDuplicates(["id", "x"]).mapInArrow(trimmed(visits), T.StructType([*kind[:2], T.StructField("bucket", T.IntegerType()), T.StructField("leaves", T.ArrayType(T.IntegerType()))]))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        y, ids = np.stack(right["x"].to_numpy()), right["id"].to_numpy()
-        asks = left["id"].to_numpy()
-        found = [pd.DataFrame({"query_id": asks[q], "id": ids[row], "score": d}) for q, row, d in closest(y, ids, np.stack(left["x"].to_numpy()), asks, k)]
+        right = right.sort_values("leaf", kind="stable")
+        y, ids, leaf = np.stack(right["x"].to_numpy()), right["id"].to_numpy(), right["leaf"].to_numpy()
+        found = []
+        for a in range(0, len(left), QUERIES):
+            some = left.iloc[a : a + QUERIES]
+            asks, v = some["id"].to_numpy(), np.stack(some["x"].to_numpy())
+            which = np.repeat(np.arange(len(some)), [len(x) for x in some["leaves"]])
+            wanted = np.concatenate(some["leaves"].to_numpy())
+            hits = []
+            for one in np.unique(leaf):
+                lo, hi = np.searchsorted(leaf, (one, one + 1))
+                sent = which[wanted == one]
+                hits += [(sent[q], ids[lo:hi][row], d) for q, row, d in closest(y[lo:hi], ids[lo:hi], v[sent], asks[sent], k)]
+            q, near, d = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.zeros(0, int), ids[:0], np.zeros(0))
+            order = np.lexsort((near, d, q))
+            q, near, d = q[order], near[order], d[order]
+            top = np.arange(len(q)) - np.searchsorted(q, q) < k
+            found.append(pd.DataFrame({"query_id": asks[q[top]], "id": near[top], "score": d[top]}))
         return pd.concat(found)
 
     scheme = T.StructType([T.StructField("query_id", rows.schema["id"].dataType), rows.schema["id"], T.StructField("score", T.DoubleType())])
-    found = asked.groupBy("leaf", "part").cogroup(members.groupBy("leaf", "part")).applyInPandas(best, scheme)
-    # At most k rows from each visited part meet here.
+    found = asked.groupBy("bucket").cogroup(members.groupBy("bucket")).applyInPandas(best, scheme)
+    # At most k rows from each visited bucket meet here.
     top = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "id"))), 1, k).alias("top"))
     flat = top.select("query_id", F.posexplode("top").alias("rank", "hit"))
     return flat.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.id").alias(id_column), F.col("hit.score").alias("score"))

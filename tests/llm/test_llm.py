@@ -568,6 +568,12 @@ def test_closest_is_exact():
         assert got[1][got[0] == q].tolist() == want.tolist() and got[2][got[0] == q].tolist() == d[want].tolist()
 
 
+def test_buckets():
+    held = np.array([3, 4, 0, 5, 40, 1, 2, 9, 10])
+    first, parts = nearest.buckets(held, 10)
+    assert parts.tolist() == [1, 1, 1, 1, 4, 1, 1, 1, 1] and first.tolist() == [0, 0, 0, 1, 2, 6, 6, 7, 8]
+
+
 def test_neighbours_are_as_many_as_there_are(spark, monkeypatch):
     """Visits are widened until k neighbours are found, repeated ids and small leaves notwithstanding."""
     plain = nearest.calibrate

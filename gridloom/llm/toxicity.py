@@ -266,6 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, k: int = 15) -
 
     got = [(r.x, r.toxic) for r in some.select("text", "toxic").mapInArrow(trimmed(sparse), "toxic int, x binary").collect()]  # at most 2 * examples rows
     packs = [(*np.frombuffer(x, np.int32).reshape(2, -1), v) for x, v in got]
+    shared.destroy()
     # Examples that share their most telling word stand together, so bounds are tight.
     lead = [int(t[np.argmax(_unit(t, n, weight))]) if len(t) else -1 for t, n, _ in packs]
     packs = [packs[i] for i in sorted(range(len(packs)), key=lambda i: (lead[i], got[i]))]
@@ -274,6 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, k: int = 15) -
     if len(index.toxic) < 2:
         return index
     full = [(t, n) for t, n, _ in packs if len(t)]
+    del got, packs, known, evidence, order
     votes = _own_votes(docs, index, full)
     slope, shift = _calibrated(votes, index.toxic, index.stands_for)
     return replace(index, slope=slope, shift=shift)
@@ -294,6 +296,7 @@ def _own_votes(docs: DataFrame, index: Index, found: list[tuple[np.ndarray, np.n
     got = spark.range(len(found)).mapInArrow(trimmed(run), "id long, vote double").toArrow()
     out = np.empty(len(found))
     out[got.column("id").to_numpy()] = got.column("vote").to_numpy()
+    shared.destroy()
     return out
 
 

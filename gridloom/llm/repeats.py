@@ -4,7 +4,7 @@ Every byte that lies in a string of SPAN bytes which also starts earlier (in a s
 in the same document) is removed; first copies stay.
 
 The corpus is searched in parts. Each string of SPAN bytes belongs to the part named by the hash of its
-least GRAM-byte gram, so equal strings meet in one part, and strings next to each other mostly share the
+least gram of GRAMS[0] bytes, so equal strings meet in one part, and strings next to each other mostly share the
 gram: they travel together as one stretch of text. A part puts its places into suffix order, as far as
 SPAN bytes tell them apart, with the common prefixes of neighbours; the previous and next smaller position in that
 order then give each place's longest previous factor, cut at SPAN. Places whose factor reaches SPAN are later copies.
@@ -12,6 +12,10 @@ Places whose string's hash occurs once in the part are left out first: their fac
 stretches are collapsed to their first before they travel and again in the part, and equal texts of a
 batch likewise, so copies by the thousand cost one sort each. The number of parts follows the number of bytes.
 
+The bytes of every part are counted first. A part of more than HOT_BYTES holds a gram that very many different
+stretches share; its strings are dealt out anew by longer grams, and those of parts that are still too large by the whole string.
+Level and part of a string follow from its bytes alone, so equal strings still meet.
+
 Defined results: null text is empty; texts under SPAN bytes lose nothing; rows without doc_id come before all others;
 of rows with one doc_id neither comes before the other, except by place.
 """
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -31,12 +36,33 @@ from pyspark.sql import types as T
 
 from gridloom.llm.shared import CHUNK, Scratch, chunks, mix, of_rows, powers, prefix_hash, strings, trimmed
 
-GRAM = 12
+#: Bytes of the grams that name the part, level by level; then whole strings.
+GRAMS = (12, 40)
 PART_BYTES = 2 << 20
+#: Parts with more bytes of stretches than this (four times the usual) are dealt out anew.
+HOT_BYTES = 24 << 20
 FLUSH_BYTES = 16 << 20
 NOTHING = -(1 << 63)
 
 
+@dataclass(frozen=True)
+class Level:
+    """Grams of so many bytes name parts from first on; the strings of the parts in hot (sorted) go to the next level."""
+
+    gram: int
+    first: int
+    parts: int
+    hot: np.ndarray
+
+    def part(self, gram: np.ndarray) -> np.ndarray:
+        return (mix(gram) % np.uint64(self.parts)).astype(np.int32) + np.int32(self.first)
+
+
+def parts_for(strings: int, gram: int, span: int) -> int:
+    """How many parts so many strings of span bytes need; a stretch holds (span - gram + 2) / 2 of them on average."""
+    return max(4, -(-int(strings * (1 + 2 * (span - 1) / (span - gram + 2))) // (3 * PART_BYTES)))
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """The least of each w neighbours, by block prefixes and suffixes."""
     n = len(x) - w + 1
@@ -48,20 +74,21 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
-    """Start, number of strings, gram hash and content hash of each stretch."""
+def stretches(data: np.ndarray, offsets: np.ndarray, span: int, size: int, some: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Start, number of strings, hash of the gram of size bytes and content hash of each stretch; some: whether the string at a place counts."""
     n = len(data)
-    none = np.zeros(0, np.int64)
+    none = tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.uint64, np.uint64))
     if n < span:
-        return none, none, none, none
+        return none
     p = prefix_hash(data)
     down = powers(n + 1)[1]
-    gram = mix((p[GRAM:] - p[:-GRAM]) * down[: n - GRAM + 1])
-    least = sliding_min(gram & np.uint64(0xFFFFFFFF00000000) | np.arange(len(gram), dtype=np.uint64), span - GRAM + 1)
+    gram = mix((p[size:] - p[:-size]) * down[: n - size + 1])
+    least = sliding_min(gram & np.uint64(0xFFFFFFFF00000000) | np.arange(len(gram), dtype=np.uint64), span - size + 1)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    s = np.flatnonzero(row[: n - span + 1] == row[span - 1 :])
+    whole = row[: n - span + 1] == row[span - 1 :]
+    s = np.flatnonzero(whole if some is None else whole & some[: n - span + 1])
     if not len(s):
-        return none, none, none, none
+        return none
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1] + 1) | (least[s[1:]] != least[s[:-1]])
     first = np.flatnonzero(new)
@@ -71,6 +98,21 @@ def stretches(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndar
     return start, run, least[start] >> np.uint64(32), mix((p[end] - p[start]) * down[start]) ^ mix(run.astype(np.uint64))
 
 
+def dealt(data: np.ndarray, offsets: np.ndarray, span: int, levels: list[Level]) -> tuple[np.ndarray, ...]:
+    """Start, number of strings, part and content hash of each stretch, of all levels."""
+    out, some = [], None
+    for level in levels:
+        start, run, gram, content = stretches(data, offsets, span, level.gram, some)
+        part = level.part(gram)
+        hot = np.isin(part, level.hot)
+        out.append([x[~hot] for x in (start, run, part, content)])
+        if not hot.any():
+            break
+        edges = (np.bincount(x, minlength=len(data) + 1) for x in (start[hot], start[hot] + run[hot]))
+        some = np.cumsum(np.subtract(*edges)) > 0
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The bytes data[start:start + length] one after another; index arrays stay at the size of a chunk."""
     out = np.empty(int(length.sum()), np.uint8)
@@ -138,10 +180,62 @@ def _covered(parts: int, doc: np.ndarray, th: np.ndarray, s: np.ndarray, e: np.n
     return pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(doc), pa.binary()), pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=_COLUMNS)
 
 
-def _split(parts: int, span: int):
+def _fresh(batch: pa.RecordBatch, span: int, levels: list[Level]) -> Iterator[tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...] | None]]:
+    """Spans (doc, th, s, e) that are later copies within the batch, and of a chunk's other stretches doc, th, place, run, part and text."""
+    data, offsets = strings(batch.column("text"))
+    docs, ths = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "th"))
+    # Later copies of a whole text.
+    order = np.lexsort((docs, ths))
+    first = np.append(True, ths[order][1:] != ths[order][:-1])[: len(order)]
+    head = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
+    later = np.zeros(len(docs), bool)
+    later[order] = docs[order] > docs[head]
+    lengths = np.diff(offsets)
+    gone = later & (lengths >= span)
+    yield (docs[gone], ths[gone], np.zeros(gone.sum(), np.int32), lengths[gone]), None
+    for lo, _, text, at in chunks(data, offsets, CHUNK):
+        start, n, part, content = dealt(text, at, span, levels)
+        row = of_rows(at, start)
+        good = ~later[lo + row]
+        start, n, part, content, row = (x[good] for x in (start, n, part, content, row))
+        if not len(start):
+            continue
+        place, doc, th = start - at[row], docs[lo + row], ths[lo + row]
+        one = _firsts(content, doc, place)
+        copies = (doc[~one], th[~one], place[~one], (place + n + span - 1)[~one])
+        yield copies, (doc[one], th[one], place[one], n[one], part[one], gather(text, start[one], n[one] + span - 1))
+
+
+def _sizes(levels, span: int):
+    """The bytes and strings of each part of the last level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = levels.value[-1]
+        kept, size = [], 0
+
+        def summed() -> pa.RecordBatch:
+            part, n = (np.concatenate(x) for x in zip(*kept, strict=True))
+            names, which = np.unique(part, return_inverse=True)
+            total = [np.bincount(which, w).astype(np.int64) for w in (n + span - 1, n)]
+            return pa.RecordBatch.from_arrays([pa.array(names), *map(pa.array, total)], names=["part", "bytes", "strings"])
+
+        for batch in batches:
+            for _, found in _fresh(batch, span, levels.value):
+                if found is not None and (own := found[4] >= last.first).any():
+                    kept.append((found[4][own], found[3][own]))
+                    size += int(own.sum())
+                if size > 1 << 20:
+                    yield summed()
+                    kept, size = [], 0
+        if kept:
+            yield summed()
+
+    return run
+
+
+def _split(levels, span: int):
     def blobs(kept: list[tuple]) -> Iterator[pa.RecordBatch]:
-        doc, th, place, run, gram, text = (np.concatenate(x) for x in zip(*kept, strict=True))
-        part = (mix(gram) % np.uint64(parts)).astype(np.int32)
+        doc, th, place, run, part, text = (np.concatenate(x) for x in zip(*kept, strict=True))
         order = np.argsort(part, kind="stable")
         length = run + span - 1
         text = gather(text, (np.cumsum(length) - length)[order], length[order])
@@ -157,30 +251,12 @@ def _split(parts: int, span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
         for batch in batches:
-            data, offsets = strings(batch.column("text"))
-            docs, ths = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "th"))
-            # Later copies of a whole text, within this batch.
-            order = np.lexsort((docs, ths))
-            first = np.append(True, ths[order][1:] != ths[order][:-1])[: len(order)]
-            head = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
-            later = np.zeros(len(docs), bool)
-            later[order] = docs[order] > docs[head]
-            lengths = np.diff(offsets)
-            if (gone := later & (lengths >= span)).any():
-                yield _covered(parts, docs[gone], ths[gone], np.zeros(gone.sum(), np.int32), lengths[gone])
-            for lo, hi, part, at in chunks(data, offsets, CHUNK):
-                start, n, gram, content = stretches(part, at, span)
-                if not len(start):
-                    continue
-                row = of_rows(at, start)
-                good = ~later[lo + row]
-                start, n, gram, content, row = (x[good] for x in (start, n, gram, content, row))
-                place, doc, th = start - at[row], docs[lo + row], ths[lo + row]
-                one = _firsts(content, doc, place)
-                if (~one).any():
-                    yield _covered(parts, doc[~one], th[~one], place[~one], (place + n + span - 1)[~one])
-                kept.append((doc[one], th[one], place[one], n[one], gram[one], gather(part, start[one], n[one] + span - 1)))
-                size += len(kept[-1][-1])
+            for copies, found in _fresh(batch, span, levels.value):
+                if len(copies[0]):
+                    yield _covered(levels.value[0].parts, *copies)
+                if found is not None:
+                    kept.append(found)
+                    size += len(found[-1])
                 if size > FLUSH_BYTES:
                     yield from blobs(kept)
                     kept, size = [], 0
@@ -316,16 +392,35 @@ def _solve(span: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, span: int = 100) -> tuple[DataFrame, Scratch]:
+def _levels(rows: DataFrame, total: int, span: int, hot_bytes: int) -> list[Level]:
+    """Counts the parts of each level but the last; a level follows if some are too large (one for each hot_bytes of stretches at most)."""
+    none = np.zeros(0, np.int32)
+    grams = [g for g in GRAMS if g < span] + [span]
+    levels = [Level(grams[0], 0, max(4, -(-total // PART_BYTES)), none)]
+    for gram in grams[1:]:
+        shared = rows.sparkSession.sparkContext.broadcast(levels)
+        sizes = rows.mapInArrow(trimmed(_sizes(shared, span)), "part int, bytes long, strings long").groupBy("part").agg(F.sum("bytes").alias("bytes"), F.sum("strings").alias("strings"))
+        hot = sizes.filter(F.col("bytes") > hot_bytes).select("part", "strings").toArrow()
+        shared.destroy()
+        if not hot.num_rows:
+            break
+        last = levels[-1]
+        levels[-1] = replace(last, hot=np.sort(hot.column("part").to_numpy()))
+        levels.append(Level(gram, last.first + last.parts, parts_for(int(hot.column("strings").to_numpy().sum()), gram, span), none))
+    return levels
+
+
+def repeated_spans(docs: DataFrame, span: int = 100, hot_bytes: int = HOT_BYTES) -> tuple[DataFrame, Scratch]:
     """doc (least long where null), th (xxhash64 of text), spans: array of s << 32 | e, bytes to remove, overlapping ones among them."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     total = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    parts = max(4, -(-total // PART_BYTES))
-    sent = keyed(docs).select("doc", "th", "text").mapInArrow(trimmed(_split(parts, span)), _KIND)
-    spans = sent.groupBy("part").applyInPandas(_solve(span), "doc long, th long, s int, e int")
+    rows = keyed(docs).select("doc", "th", "text")
+    levels = spark.sparkContext.broadcast(_levels(rows, total, span, hot_bytes))
+    spans = rows.mapInArrow(trimmed(_split(levels, span)), _KIND).groupBy("part").applyInPandas(_solve(span), "doc long, th long, s int, e int")
     spans = spans.select("doc", "th", F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("e").cast("long")).alias("x"))
     spans = scratch.keep(spans.groupBy("doc", "th").agg(F.collect_set("x").alias("spans")), "spans")
+    levels.destroy()
     return spans, scratch
 
 
@@ -334,9 +429,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NOTHING)), "th": F.xxhash64(text), "text": text})
 
 
-def remove_repeats(docs: DataFrame, span: int = 100, text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 100, text: bool = True, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """doc_id, kept (the bytes that remain, if text), n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    spans, _ = repeated_spans(docs.select("doc_id", "text"), span)
+    spans, _ = repeated_spans(docs.select("doc_id", "text"), span, hot_bytes)
     rows = keyed(docs.select("doc_id", "text")).join(spans, ["doc", "th"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -373,6 +373,41 @@ def test_repeats_by_hand(spark, rows):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_repeats(rows)
 
 
+def shared_line_rows():
+    """A passage of 70 bytes in all texts, between ever different words, and a whole repeated one in some."""
+    line, whole = "All rights reserved; see the licence for what may be done with this ab", prose(77, 30)
+    return [(d, f"{prose(d, 30)} {line} {prose(d + 1000, 30)}" + f" {whole}" * (d % 7 == 0)) for d in range(150)]
+
+
+@pytest.mark.parametrize("rows", [edge_rows(), repeat_rows(), shared_line_rows()], ids=["edges", "repeats", "line"])
+@pytest.mark.parametrize("hot_bytes", [0, 20_000])
+def test_repeats_with_parts_dealt_anew(spark, rows, hot_bytes):
+    """Parts that are too large go on to longer grams and then to whole strings; the result stays the same."""
+    docs = docs_of(spark, rows)
+    keyed = repeats.keyed(docs).select("doc", "th", "text")
+    levels = repeats._levels(keyed, 1, 100, hot_bytes)
+    assert [level.gram for level in levels] == [12, 40, 100] and all(len(level.hot) for level in levels[:-1])
+    got = repeats.remove_repeats(docs, hot_bytes=hot_bytes).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_repeats(rows)
+
+
+def test_repeats_levels(spark):
+    """A level follows only for what is too large, and equal strings share a part whatever stands around them."""
+    rows = shared_line_rows()
+    keyed = repeats.keyed(docs_of(spark, rows)).select("doc", "th", "text")
+    assert len(repeats._levels(keyed, 1, 100, 1 << 30)) == 1
+    levels = repeats._levels(keyed, 1 << 28, 100, 12_000)
+    assert len(levels) > 1 and len(levels[0].hot) < levels[0].parts / 2
+    part_of = {}
+    for _, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        start, run, part, _ = repeats.dealt(data, np.array([0, len(data)]), 100, levels)
+        assert sorted(x for a, n in zip(start, run, strict=True) for x in range(a, a + n)) == list(range(len(data) - 99))
+        for a, n, where in zip(start, run, part, strict=True):
+            for x in range(a, a + n):
+                assert part_of.setdefault(text.encode()[x : x + 100], where) == where
+
+
 def test_repeats_empty_and_kernels(none):
     assert repeats.remove_repeats(none).count() == 0
     x = np.random.default_rng(0).integers(0, 1000, 500)

@@ -42,8 +42,9 @@ PIECE = 1 << 18
 FRAGMENTS = 4
 BLOCKS, GROUP, SIDE = 32, 1000, 10_000
 ROUNDS, LEADERS = 2, 16
-#: A part of a component holds about so many shingles at most.
-PART = 1 << 19
+#: A part of a component holds about so many shingles at most; a component of more than SMALL classes has CUT parts at least, as
+#: far as they hold SMALL classes each.
+PART, SMALL, CUT = 1 << 19, 200, 6
 #: A task remembers so many sets; beyond that some are counted or sent twice, which changes no result.
 REMEMBERED = 100_000
 
@@ -267,13 +268,13 @@ def _counts_of(part: pd.DataFrame) -> pd.DataFrame:
 def _parts(texts: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """The sets of the components of three classes or more, dealt out to all pairs (i, j) of the component's parts.
 
-    Small components are one part and share groups; larger ones are cut into parts of about GROUP classes or PART shingles.
+    Small components are one part and share groups; larger ones are cut into parts of SMALL to GROUP classes, PART shingles at most.
     """
     placed = labels.join(classes.select("c", "n"), "c")
     sizes = placed.groupBy("comp").agg(F.count("*").alias("k"), F.sum("n").alias("s")).filter("k > 2")
     total = sizes.agg(F.sum("k").alias("k"), F.sum("s").alias("s")).first()
     groups = max(BLOCKS, (total.k or 0) // GROUP, (total.s or 0) // PART)
-    sizes = sizes.select("comp", F.ceil(F.greatest(F.col("k") / GROUP, F.col("s") / PART)).cast("int").alias("parts"))
+    sizes = sizes.select("comp", F.ceil(F.greatest(F.col("k") / F.least(F.lit(GROUP), F.greatest(F.lit(SMALL), F.col("k") / CUT)), F.col("s") / PART)).cast("int").alias("parts"))
     g = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("comp"), F.lit(groups))).otherwise(F.col("comp"))
     dealt = placed.join(sizes, "comp").select("c", g.alias("g"), "parts", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("q"))
     sets = texts.join(classes.join(dealt.select("c"), "c"), "row").select("c", "text").mapInArrow(trimmed(_sets), "c long, set binary")
